@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import linededup, quality
+from . import linededup, packing, quality, secretscan
 
 
 def queries() -> dict:
     return {
         "op3_quality_rules": quality.op3,
+        "op5_secret_scan": secretscan.op5,
+        "op6_bestfit_packing": packing.op6,
         "op7_line_dedup": linededup.op7,
     }
 
