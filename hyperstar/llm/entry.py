@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import linededup, packing, quality, secretscan
+from . import linededup, omh, packing, quality, secretscan
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op5_secret_scan": secretscan.op5,
         "op6_bestfit_packing": packing.op6,
         "op7_line_dedup": linededup.op7,
+        "op9_order_minhash": omh.op9,
     }
 
 
