@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import linededup, omh, packing, quality, secretscan
+from . import bpe, hnsw, linededup, omh, packing, quality, secretscan, toxicity
 
 
 def queries() -> dict:
     return {
+        "op2_hnsw": hnsw.op2,
         "op3_quality_rules": quality.op3,
         "op5_secret_scan": secretscan.op5,
         "op6_bestfit_packing": packing.op6,
         "op7_line_dedup": linededup.op7,
+        "op8_bpe": bpe.op8,
         "op9_order_minhash": omh.op9,
+        "op10_toxicity": toxicity.op10,
     }
 
 
