@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, hnsw, linededup, omh, packing, quality, secretscan, toxicity
+from . import bpe, cdc, hnsw, licenses, linededup, omh, packing, quality, secretscan, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_substring_dedup": cdc.op1,
         "op2_hnsw": hnsw.op2,
         "op3_quality_rules": quality.op3,
+        "op4_license_scan": licenses.op4,
         "op5_secret_scan": secretscan.op5,
         "op6_bestfit_packing": packing.op6,
         "op7_line_dedup": linededup.op7,
