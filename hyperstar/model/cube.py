@@ -99,7 +99,8 @@ class Cube:
         return _named(self.aggregates, name, f"aggregate of cube '{self.name}'")
 
     def aggregates_of(self, measures) -> list[MeasureAggregate]:
-        return [a for a in self.aggregates if a.measure in set(measures)]
+        chosen = set(measures)
+        return [a for a in self.aggregates if a.measure in chosen]
 
     @property
     def dimension_attributes(self) -> list[Attribute]:
