@@ -132,7 +132,7 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     empty = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("text"))
     step = lambda a, s: F.struct(s["end"].alias("at"), F.concat(a["text"], F.substring(F.col("text"), (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int"))).alias("text"))
     rest = F.aggregate("_spans", empty, step, lambda a: F.concat(a["text"], F.substring(F.col("text"), (a["at"] + 1).cast("int"), F.length("text"))))
-    return joined.select(*(F.when(F.col("_spans").isNull(), F.col("text")).otherwise(rest).alias("text") if c == "text" else joined[c] for c in docs.columns))
+    return joined.select(*(F.when(F.col("_spans").isNull(), F.col("text")).otherwise(rest).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

@@ -56,13 +56,13 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     one document: they get the same result. A null doc_id sorts first. An
     empty table gives an empty result.
     """
-    lost = removed_lines(docs).select(F.col("doc_id").alias("_d_id"), F.col("row_key").alias("_d_key"), "lost")
+    lost = removed_lines(docs).select(F.col("doc_id").alias("_d_id"), F.col("row_key").alias("_d_key"), F.col("lost").alias("_d_lost"))
     joined = docs.join(lost, docs["doc_id"].eqNullSafe(lost["_d_id"]) & (text_key(docs["text"]) == lost["_d_key"]), "left")
     lines = F.split(F.col("text"), "\n")
-    rest = lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("lost")), lambda i: F.get(x, i)), "\n")
-    text = F.when(F.col("lost").isNull(), F.col("text")).otherwise(let(lines, rest)).alias("text")
-    own = [text if c == "text" else joined[c] for c in docs.columns]
-    return joined.select(*own, F.coalesce(F.size(lines), F.lit(0)).alias("_lines"), F.coalesce(F.size("lost"), F.lit(0)).alias("_removed"))
+    rest = lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("_d_lost")), lambda i: F.get(x, i)), "\n")
+    text = F.when(F.col("_d_lost").isNull(), F.col("text")).otherwise(let(lines, rest)).alias("text")
+    own = [text if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    return joined.select(*own, F.coalesce(F.size(lines), F.lit(0)).alias("_lines"), F.coalesce(F.size("_d_lost"), F.lit(0)).alias("_removed"))
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
