@@ -46,7 +46,7 @@ ALLOWED = re.compile(
     r"|sha(?:1|224|256|384|512)-|integrity|checksum|example|sample|dummy|placeholder|changeme|redacted|xxxx|lorem"
     r"|abcdefghij|0123456789|1234567890|qwertyuiop"
 )
-_BITS = [0.0, *(c * math.log2(c) for c in range(1, WINDOW + 1))]
+_BITS = [0.0, *(c * math.log2(c) for c in range(1, WINDOW + 2))]  # a step adds before it takes away
 
 
 def random_runs(text: str, start: int, end: int, threshold: float) -> list[tuple[int, int]]:
