@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_line_dedup": linededup.op7_sql()}
+    return {"op3_quality_rules": quality.op3_sql(), "op7_line_dedup": linededup.op7_sql()}

@@ -154,3 +154,43 @@ def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with its own columns."""
     good = quality_rules(docs, labels).where("kept").select(F.col("doc_id").alias("_q_id"), F.col("row_key").alias("_q_key")).distinct()
     return docs.join(good, docs["doc_id"].eqNullSafe(good["_q_id"]) & (text_key(docs["text"]) == good["_q_key"]), "left_semi")
+
+
+def op3_sql() -> str:
+    grid = ", ".join(f"('{r}', {b + 1}, CAST({c} AS DOUBLE))" for r, g in GRID.items() for b, c in enumerate(g))
+    strata = ", ".join(f"'{s}'" for s in STRATA)
+    risk = RISK / len(GRID)
+    return rf"""
+WITH w AS (
+  SELECT doc_id, coalesce(text, '') AS text, CASE WHEN lang IN ({strata}) THEN lang ELSE 'other' END AS stratum, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), windows AS (
+  SELECT doc_id, i, ws[i:i + {WINDOW - 1}] AS g FROM w, LATERAL (SELECT unnest(range(1, len(ws) - {WINDOW - 2})) AS i)
+), twice AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM windows) WHERE n > 1
+), covered AS (
+  SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + {WINDOW})) AS p FROM twice) GROUP BY doc_id
+), counted AS (
+  SELECT w.doc_id, stratum, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls, coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM w LEFT JOIN covered USING (doc_id)
+), measured AS (
+  SELECT *, len(ls) - len(list_distinct(ls)) AS n_dup_lines, n_symbols / greatest(n_words, 1) AS symbols, (len(ls) - len(list_distinct(ls))) / greatest(len(ls), 1) AS dup_lines,
+    n_repeat_words / greatest(n_words, 1) AS repeats, word_chars / greatest(n_words, 1) AS long_words, -(word_chars / greatest(n_words, 1)) AS short_words FROM counted
+), long AS (
+  UNPIVOT (SELECT doc_id, stratum, symbols, dup_lines, repeats, long_words, short_words FROM measured) ON symbols, dup_lines, repeats, long_words, short_words INTO NAME rule VALUE metric
+), grid(rule, b, cutoff) AS (VALUES {grid}), good AS (
+  SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1
+), held AS (
+  SELECT stratum, rule, b, cutoff, count(*) AS n, count(*) FILTER (WHERE metric > cutoff) AS k FROM long JOIN good USING (doc_id) JOIN grid USING (rule) GROUP BY ALL
+), tail AS (
+  SELECT stratum, rule, b, cutoff, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({risk}) + (n - i) * ln(1 - {risk}))) AS p
+  FROM held, LATERAL (SELECT unnest(range(0, k + 1)) AS i) WHERE k < n * {risk} GROUP BY ALL
+), cutoffs AS (
+  SELECT stratum, rule, arg_max(cutoff, b) AS cutoff FROM tail WHERE p <= {DELTA / TESTS} GROUP BY ALL
+), above AS (
+  SELECT DISTINCT doc_id FROM long JOIN cutoffs USING (stratum, rule) WHERE metric > cutoff
+)
+SELECT m.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+  n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed, NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) AND a.doc_id IS NULL AS kept
+FROM measured m LEFT JOIN above a ON m.doc_id = a.doc_id
+"""
