@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import single_thread, table
 
 #: Words in the automaton, characters that are encoded together, distinct words counted before a task passes them on, unseen words that a worker remembers.
-LEXICON, TOGETHER, COUNTED, REMEMBERED = 100_000, 3_000_000, 200_000, 300_000
+LEXICON, TOGETHER, COUNTED, REMEMBERED = 100_000, 6_000_000, 200_000, 250_000
 LONGEST = 48
 
 
@@ -71,13 +71,18 @@ class WordBpe:
         self.token = {i: t for t, i in (self.vocab | self.special).items()}
         self.end = model["end_of_word_suffix"] or ""
         v = self.vocab
-        self.merges = {}
+        #: pair -> rank, and rank -> what the pair becomes; the lowest rank merges first
+        self.ranks: dict[tuple[int, int], int] = {}
+        self.made: list[int] = []
         for rank, pair in enumerate(model["merges"]):
-            a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges[v[a], v[b]] = (rank, v[a + b])
+            x, y = pair if isinstance(pair, list) else pair.split(" ")
+            self.ranks[v[x], v[y]] = rank
+            self.made.append(v[x + y])
+        self.decimal = {i: str(i) for i in self.token}
         self.letters = byte_letters()
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self._unseen: dict[str, tuple[int, ...]] = {}
+        self._older: dict[str, tuple[int, ...]] = {}
 
     def spelled(self, word: str) -> str:
         """A word as the vocabulary spells it: a letter per byte."""
@@ -109,39 +114,44 @@ class WordBpe:
         return tuple(self._merge_short(ids) if len(ids) <= 64 else self._merge_long(ids))
 
     def _merge_short(self, ids: list[int]) -> list[int]:
-        merges = self.merges
-        while len(ids) > 1:
-            best = min((m[0], i, m[1]) for i in range(len(ids) - 1) if (m := merges.get((ids[i], ids[i + 1])))) if any((ids[i], ids[i + 1]) in merges for i in range(len(ids) - 1)) else None
-            if best is None:
-                break
-            ids[best[1] : best[1] + 2] = [best[2]]
+        rank_of, made, never = self.ranks.get, self.made, len(self.made)
+        ranks = [rank_of(p, never) for p in zip(ids, ids[1:])]
+        while ranks and (rank := min(ranks)) < never:
+            i = ranks.index(rank)
+            ids[i : i + 2] = [made[rank]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank_of((ids[i - 1], ids[i]), never)
+            if i < len(ranks):
+                ranks[i] = rank_of((ids[i], ids[i + 1]), never)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
-        n, merges = len(ids), self.merges
+        n, rank_of, made = len(ids), self.ranks.get, self.made
         after, before = [*range(1, n), -1], [*range(-1, n - 1)]
         alive = [True] * n
-        heap = [(m[0], i, m[1], ids[i], ids[i + 1]) for i in range(n - 1) if (m := merges.get((ids[i], ids[i + 1])))]
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := rank_of((ids[i], ids[i + 1]))) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, made, a, b = heapq.heappop(heap)
+            rank, i, a, b = heapq.heappop(heap)
             j = after[i] if alive[i] else -1
             if j < 0 or ids[i] != a or ids[j] != b:
                 continue
-            ids[i], alive[j], after[i] = made, False, after[j]
+            ids[i], alive[j], after[i] = made[rank], False, after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y >= 0 and (m := merges.get((ids[x], ids[y]))):
-                    heapq.heappush(heap, (m[0], x, m[1], ids[x], ids[y]))
+                if x >= 0 and y >= 0 and (r := rank_of((ids[x], ids[y]))) is not None:
+                    heapq.heappush(heap, (r, x, ids[x], ids[y]))
         return [x for x, on in zip(ids, alive, strict=True) if on]
 
     def unseen(self, word: str) -> tuple[int, ...]:
         ids = self._unseen.get(word)
         if ids is None:
-            if len(self._unseen) >= REMEMBERED:
-                self._unseen.clear()
-            ids = self._unseen[word] = self.merge(word)
+            ids = self._older.pop(word, None)
+            if len(self._unseen) >= REMEMBERED:  # what was not asked for since the last time goes
+                self._older, self._unseen = self._unseen, {}
+            ids = self._unseen[word] = ids or self.merge(word)
         return ids
 
     def decode(self, ids) -> str:
@@ -193,21 +203,19 @@ def compile_lexicon(entries: dict[str, tuple[int, ...]]) -> bytes:
     arcs = np.array(rows, dtype=np.int64).reshape(-1, 3)
     ids = [i for _, own in words for i in own]
     offsets = np.concatenate(([0], np.cumsum([len(own) for _, own in words], dtype=np.int64)))
-    arrays = [arcs[:, 0].copy(), arcs[:, 1].copy(), arcs[:, 2].copy(), np.array([e for e, _ in states], dtype=np.int64), offsets.astype(np.int64), np.array(ids, dtype=np.int64)]
-    head = np.array([root, len(arrays), *map(len, arrays)], dtype=np.int64)
-    return b"".join(a.tobytes() for a in (head, *arrays))
+    arrays = [arcs[:, 0], arcs[:, 1], arcs[:, 2], np.array([e for e, _ in states]), offsets, np.array(ids)]
+    head = np.array([root, len(arrays), *map(len, arrays)])
+    return b"".join(a.astype(np.int32).tobytes() for a in (head, *arrays))
 
 
 class Lexicon:
-    """A compiled lexicon, mapped from a file of this worker's machine that the first worker writes."""
+    """A compiled lexicon, mapped from a file of this worker's machine. The file loses its name at once, so nothing is left when the worker ends."""
 
     def __init__(self, data: bytes):
-        path = os.path.join(tempfile.gettempdir(), f"lexicon-{hashlib.sha256(data).hexdigest()[:32]}.bin")
-        if not os.path.exists(path) or os.path.getsize(path) != len(data):
-            with tempfile.NamedTemporaryFile(dir=os.path.dirname(path), delete=False) as f:
-                f.write(data)
-            os.replace(f.name, path)
-        whole = np.memmap(path, dtype=np.int64, mode="r")
+        with tempfile.NamedTemporaryFile(prefix="lexicon-") as f:
+            f.write(data)
+            f.flush()
+            whole = np.asarray(np.memmap(f.name, dtype=np.int32, mode="r"))
         n = int(whole[1])
         ends = np.cumsum([2 + n, *whole[2 : 2 + n].tolist()])
         self.root = int(whole[0])
@@ -231,16 +239,21 @@ class Lexicon:
                 ended = done & (self.ends[state] == 1)
                 number[at[ended]] = before[ended]
                 at, state, before = at[~done], state[~done], before[~done]
-            key = state << 8 | text[start[at] + step]
+            key = (state << 8 | text[start[at] + step]).astype(np.int32)
             arc = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
             on = self.keys[arc] == key
             at, arc = at[on], arc[on]
-            state, before = self.to[arc], before[on] + self.skip[arc]
+            state, before = self.to[arc].astype(np.int64), before[on] + self.skip[arc]
             step += 1
         return number
 
-    def ids_of(self, number: int) -> tuple[int, ...]:
-        return tuple(self.ids[self.offsets[number] : self.offsets[number + 1]].tolist())
+    def ids_of(self, numbers: np.ndarray) -> list[list[int]]:
+        """The ids of words by their numbers."""
+        start, end = self.offsets[numbers].astype(np.int64), self.offsets[numbers + 1].astype(np.int64)
+        size = end - start
+        at = np.cumsum(size)
+        flat = self.ids[np.repeat(start - at + size, size) + np.arange(at[-1] if len(at) else 0)].tolist()
+        return [flat[b - n : b] for b, n in zip(at.tolist(), size.tolist(), strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -260,10 +273,13 @@ def encode_all(bpe: WordBpe, words: Lexicon, texts: list[str]) -> list[tuple[int
             parts.append((False, bpe.words(t)))
     spelled = {c: bpe.plain_words(c) for c in plain}
     distinct = list({w for own in spelled.values() for w in own} | {w for is_plain, own in parts if not is_plain for w in own})
+    numbers = words.numbers([w.encode() for w in distinct])
+    known = iter(words.ids_of(numbers[numbers >= 0]))
+    decimal, token = bpe.decimal.__getitem__, bpe.token.__getitem__
     made: dict[str, tuple[int, str, str]] = {}
-    for w, number in zip(distinct, words.numbers([w.encode() for w in distinct]).tolist(), strict=True):
-        ids = words.ids_of(number) if number >= 0 else bpe.unseen(w)
-        made[w] = (len(ids), " ".join(map(str, ids)), bpe.decode(ids))
+    for w, number in zip(distinct, numbers.tolist(), strict=True):
+        ids = next(known) if number >= 0 else bpe.unseen(w)
+        made[w] = (len(ids), " ".join(map(decimal, ids)), " ".join(map(token, ids)))
     counts, decimals, decoded = {}, {}, {}
     for c, own in spelled.items():
         found = [made[w] for w in own]
