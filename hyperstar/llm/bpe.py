@@ -30,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import single_thread, table
+from .common import single_thread, table, written
 
 #: Words in the automaton, characters that are encoded together, distinct words counted before a task passes them on, unseen words that a worker remembers.
-LEXICON, TOGETHER, COUNTED, REMEMBERED = 100_000, 6_000_000, 200_000, 250_000
+LEXICON, TOGETHER, COUNTED, REMEMBERED = 300_000, 6_000_000, 200_000, 250_000
 LONGEST = 48
 
 
@@ -334,8 +334,14 @@ def word_counts(docs: DataFrame, file: str) -> DataFrame:
 
 
 def build_lexicon(docs: DataFrame, file: str, size: int = LEXICON) -> bytes:
-    """The transducer of the ``size`` most frequent words of all texts, ties by the word."""
-    top = word_counts(docs, file).where(F.octet_length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(size)
+    """The transducer of the ``size`` most frequent words of all texts, ties by the word. A histogram of the counts' powers of two leaves few words beyond ``size`` to sort."""
+    counted = written(word_counts(docs, file).where(F.octet_length("word") <= LONGEST))
+    least, left = 1, size
+    for r in counted.groupBy(F.floor(F.log2("n")).cast("int").alias("power")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("power")).collect():  # 64 rows at most
+        least, left = 1 << r.power, left - r.words
+        if left <= 0:
+            break
+    top = counted.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(size)
     bpe = word_bpe(file)
     return compile_lexicon({r.word: bpe.merge(r.word) for r in top.select("word").toLocalIterator()})
 
