@@ -8,7 +8,8 @@ digest: the document with the smallest id keeps a chunk, in all others it
 repeats, and neighbouring repeated chunks make a span.
 
 Chunks are counted with a partial aggregation over fixed-width columns, and
-only chunks that repeat go on to the join, which adaptive execution splits.
+only chunks that repeat go on to the join. Both sides of it are tables, so
+adaptive execution can split a hot chunk.
 """
 
 from __future__ import annotations
@@ -115,7 +116,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     gives an empty result.
     """
     found = written(chunks(docs))
-    again = found.where("earlier < 0").groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.min_by("place", "doc").alias("at")).where("first < last").drop("last")
+    again = written(found.where("earlier < 0").groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.min_by("place", "doc").alias("at")).where("first < last").drop("last"))
     across = found.where("earlier < 0").join(again, ["h1", "h2"]).where("doc <> first").select("doc", "place", "first", "at")
     within = found.where("earlier >= 0").select("doc", "place", F.col("doc").alias("first"), F.col("earlier").alias("at"))
     begin = lambda c: F.shiftright(c, 10)

@@ -6,8 +6,8 @@ by (doc_id, place); all lines that later occurrences cover are removed.
 
 Only DataFrame functions are used. Windows are counted with a partial
 aggregation, so one that fills a third of the corpus reaches its reducer as
-one row per map task; only windows that repeat go on to the join, which
-adaptive execution splits when a window is hot. Nothing gathers the
+one row per map task; only windows that repeat go on to the join. Both sides of
+it are tables, so adaptive execution can split a hot window. Nothing gathers the
 occurrences of a window.
 """
 
@@ -42,7 +42,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     """For each row of ``docs`` that loses lines: doc_id, row_key and the sorted places of the lost lines."""
     found = written(windows(docs))
     place = F.struct("doc_id", "row_key", F.get("at", F.lit(0)).alias("i"))
-    again = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last")
+    again = written(found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last"))
     later = found.join(again, ["h1", "h2"]).where(place != F.col("first"))
     return later.groupBy("doc_id", "row_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("at")))).alias("lost"))
 
