@@ -50,8 +50,8 @@ def _repeated(hashes: Column) -> Column:
     return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(let(placed, covered))
 
 
-def counts(docs: DataFrame) -> DataFrame:
-    """The counts of every text, one row per row of ``docs``: doc_id, row_key, stratum, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words."""
+def counts(docs: DataFrame, *more: Column) -> DataFrame:
+    """The counts of every text, one row per row of ``docs``: doc_id, row_key, stratum, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, and ``more``."""
     text = F.coalesce(F.col("text"), F.lit(""))
 
     def of_words(w: Column) -> Column:
@@ -63,9 +63,9 @@ def counts(docs: DataFrame) -> DataFrame:
     stratum = F.when(F.col("lang").isin(*STRATA), F.col("lang")).otherwise(F.lit("other"))
     found = docs.select(
         "doc_id", text_key(F.col("text")).alias("row_key"), stratum.alias("stratum"), let(words(F.col("text")), of_words).alias("w"), of_lines.alias("l"),
-        F.length(F.translate(text, " \t\n\x0b\f\r", "")).cast("long").alias("word_chars"), (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        F.length(F.translate(text, " \t\n\x0b\f\r", "")).cast("long").alias("word_chars"), (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long").alias("n_symbols"), *more,
     )
-    return found.select("doc_id", "row_key", "stratum", "w.n_words", "word_chars", "n_symbols", "l.n_lines", "l.n_dup_lines", "w.n_repeat_words")
+    return found.select("doc_id", "row_key", "stratum", "w.n_words", "word_chars", "n_symbols", "l.n_lines", "l.n_dup_lines", "w.n_repeat_words", *found.columns[7:])
 
 
 def metrics() -> dict[str, Column]:
@@ -136,13 +136,16 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     An empty table gives an empty result; with no labels only the base rules
     reject.
     """
-    counted = written(counts(docs))
+    return _judged(written(counts(docs)), labels)
+
+
+def _judged(counted: DataFrame, labels: DataFrame) -> DataFrame:
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     above = F.lit(False)
     for rule, metric in metrics().items():
         above = above | F.coalesce(metric > F.col(f"cut_{rule}"), F.lit(False))
     judged = counted.join(F.broadcast(cutoffs(counted, labels)), "stratum", "left")  # five rows at most
-    return judged.select("doc_id", "row_key", "stratum", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & ~above).alias("kept"))
+    return judged.select("doc_id", "row_key", "stratum", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & ~above).alias("kept"), *counted.columns[9:])
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
@@ -151,9 +154,9 @@ def op3(spark, sf_dir: str) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with its own columns."""
-    good = quality_rules(docs, labels).where("kept").select(F.col("doc_id").alias("_q_id"), F.col("row_key").alias("_q_key")).distinct()
-    return docs.join(good, docs["doc_id"].eqNullSafe(good["_q_id"]) & (text_key(docs["text"]) == good["_q_key"]), "left_semi")
+    """The rows of ``docs`` that the rules keep, with its own columns. The rows go to the shared folder beside their counts, so that the verdict needs no shuffle of texts."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
+    return _judged(written(counts(docs, row)), labels).where("kept").select("_row.*")
 
 
 def op3_sql() -> str:
