@@ -26,6 +26,8 @@ from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
 SKETCHES = 32
+#: Pairs with one text that a task verifies, about.
+TOGETHER = 1_000
 #: Distinct words whose hash a worker remembers.
 REMEMBERED = 500_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
@@ -157,8 +159,8 @@ def similar(a: str, b: str) -> bool:
 
 def _verified(batches):
     for batch in batches:
-        a, b = batch.column(4), batch.column(5)
-        yield batch.filter(pa.array([similar(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.bool_())).select(["a1", "a2", "b1", "b2"])
+        a, b = (batch.column(i).to_pylist() for i in (4, 5))
+        yield batch.filter(pa.array([similar(x, y) for x, y in zip(a, b, strict=True)], pa.bool_())).select(["m1", "m2", "e1", "e2"])
 
 
 def _keys(text: Column) -> list[Column]:
@@ -166,18 +168,17 @@ def _keys(text: Column) -> list[Column]:
 
 
 def candidates(sketched: DataFrame) -> DataFrame:
-    """Distinct pairs (a1, a2, b1, b2) of nodes, smaller h1 first: every member of a bucket with the bucket's least and greatest node, unless their lengths differ too much to be similar."""
+    """Distinct pairs of nodes (m1, m2) and (e1, e2): every member of a bucket with the bucket's ends, its least and its greatest node, unless their lengths differ too much to be similar. A node is a member of few pairs, but an end of many."""
     each = sketched.select("h1", "h2", "n", F.explode("sketches").alias("s"))
     ends = each.groupBy("s").agg(
         F.min("h1").alias("a1"), F.min_by("h2", "h1").alias("a2"), F.min_by("n", "h1").alias("an"),
         F.max("h1").alias("b1"), F.max_by("h2", "h1").alias("b2"), F.max_by("n", "h1").alias("bn"),
     ).where("a1 <> b1")
     end = lambda x: F.struct(F.col(f"{x}1").alias("e1"), F.col(f"{x}2").alias("e2"), F.col(f"{x}n").alias("en"))
-    pairs = each.join(ends, "s").select("h1", "h2", "n", F.explode(F.array(end("a"), end("b"))).alias("e")).select("h1", "h2", "n", "e.*")
-    near = pairs.where((F.col("h1") != F.col("e1")) & (F.least("n", "en") >= SIMILARITY * F.greatest("n", "en") - 1e-9))
-    first = F.col("h1") < F.col("e1")
-    pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
-    return near.select(pick("h1", "e1").alias("a1"), pick("h2", "e2").alias("a2"), pick("e1", "h1").alias("b1"), pick("e2", "h2").alias("b2")).distinct()
+    to = F.when(F.col("h1") == F.col("a1"), F.array().cast("array<struct<e1:long,e2:long,en:long>>")).when(F.col("h1") == F.col("b1"), F.array(end("a"))).otherwise(F.array(end("a"), end("b")))
+    pairs = each.join(ends, "s").select("h1", "h2", "n", F.explode(to).alias("e")).select("h1", "h2", "n", "e.*")
+    near = pairs.where(F.least("n", "en") >= SIMILARITY * F.greatest("n", "en") - 1e-9)
+    return near.select(F.col("h1").alias("m1"), F.col("h2").alias("m2"), "e1", "e2").distinct()
 
 
 def _node(a: str, b: str) -> Column:
@@ -189,10 +190,14 @@ def links(docs: DataFrame) -> DataFrame:
     texts = docs.select("text").where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*_keys(F.col("text")), "text")
     sketched = written(texts.mapInArrow(_sketched, "h1 long, h2 long, n long, sketches array<long>"))
     pairs = written(candidates(sketched))
+    # The pairs of one end go to as many tasks as it takes, each with a copy of the end's text.
+    parts = written(pairs.groupBy("e1", "e2").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).cast("int").alias("parts")))
+    dealt = pairs.join(parts, ["e1", "e2"]).withColumn("part", F.pmod(F.col("m1"), F.col("parts")).cast("int")).drop("parts")
     own = texts.groupBy("h1", "h2").agg(F.first("text").alias("text"))  # one of equal texts, per task already
     side = lambda x: own.select(F.col("h1").alias(f"{x}1"), F.col("h2").alias(f"{x}2"), F.col("text").alias(f"{x}_text"))
-    both = pairs.join(side("b"), ["b1", "b2"]).join(side("a"), ["a1", "a2"]).select("a1", "a2", "b1", "b2", "a_text", "b_text")
-    return both.mapInArrow(_verified, "a1 long, a2 long, b1 long, b2 long").select(_node("a1", "a2").alias("u"), _node("b1", "b2").alias("v"))
+    ends = side("e").join(parts, ["e1", "e2"]).select("e1", "e2", "e_text", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    both = dealt.join(side("m"), ["m1", "m2"]).join(ends, ["e1", "e2", "part"]).select("m1", "m2", "e1", "e2", "m_text", "e_text")
+    return both.mapInArrow(_verified, "m1 long, m2 long, e1 long, e2 long").select(_node("m1", "m2").alias("u"), _node("e1", "e2").alias("v"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -208,7 +213,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labels = components(links(docs))
     marked = rows.where("worded").join(labels, "node", "left").select("doc_id", "row_key", F.coalesce("label", "node").alias("label"))
     marked = written(marked)
-    least = marked.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.min_by("row_key", "doc_id").alias("first_key"), F.min("row_key").alias("any_key"), F.count(F.lit(1)).alias("class_rows"))
+    least = written(marked.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.min_by("row_key", "doc_id").alias("first_key"), F.min("row_key").alias("any_key"), F.count(F.lit(1)).alias("class_rows")))
     classed = marked.join(least, "label").select("doc_id", "row_key", "class_id", F.coalesce("first_key", "any_key").alias("first_key"), "class_rows")
     return classed.unionByName(rows.where("not worded").select("doc_id", "row_key", F.col("doc_id").alias("class_id"), F.col("row_key").alias("first_key"), F.lit(1).cast("long").alias("class_rows")))
 
