@@ -33,7 +33,7 @@ from .common import single_thread, table, written
 
 CAPACITY = 2048
 #: Nodes of the search over sequences, and of one enumeration of fillings; past them the best found so far stands.
-NODES, FILLING_NODES, FILLINGS = 20_000, 400, 6
+NODES, FILLING_NODES, FILLINGS = 4_000, 400, 6
 #: Strings between spaces whose ids a worker remembers at most.
 REMEMBERED = 300_000
 END_ID = 0
