@@ -4,11 +4,15 @@ The k-mers of a text are its shingles of five words, each labelled with how
 often it came before. A sketch takes the two k-mers with the smallest hashes
 under its seed and hashes them in the order in which they stand in the text,
 so texts with the same shingles in another order differ. Texts that share one
-of ``SKETCHES`` sketches form a bucket. Each member of a bucket is compared
-with two of it, its least and its greatest by hash, so work is linear in the
-size of buckets. A candidate pair is kept if a banded alignment of its words
-finds at most 20 % of the longer text's words edited. Classes are the connected
-components of the kept pairs and of equal texts.
+of ``SKETCHES`` sketches form a bucket. Each member of a bucket is first
+compared with two of it, its least and its greatest by hash. Buckets whose
+members are not of one class then go through further rounds, each with more
+pivots, drawn by a hash salted with the sketch, and every member of another
+class; a bucket is left when it is of one class or all its members have been
+pivots, so no pair of a bucket that could join two classes is left out. A
+candidate pair is kept if a banded alignment of its words finds at most 20 % of
+the longer text's words edited. Classes are the connected components of the
+kept pairs and of equal texts.
 
 Texts that are equal are one node throughout: copies are counted, not compared.
 """
@@ -28,6 +32,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 SKETCHES = 32
 #: Pairs with one text that a task verifies, about.
 TOGETHER = 1_000
+#: Pivots of a bucket in its first round after the ends, about, and by how much each round has more.
+PIVOTS = 8
 #: Distinct words whose hash a worker remembers.
 REMEMBERED = 500_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
@@ -185,11 +191,8 @@ def _node(a: str, b: str) -> Column:
     return F.concat(F.lpad(F.hex(a), 16, "0"), F.lpad(F.hex(b), 16, "0"))
 
 
-def links(docs: DataFrame) -> DataFrame:
-    """Verified pairs of different texts: u and v, each the hexadecimal digits of a text's two hashes."""
-    texts = docs.select("text").where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*_keys(F.col("text")), "text")
-    sketched = written(texts.mapInArrow(_sketched, "h1 long, h2 long, n long, sketches array<long>"))
-    pairs = written(candidates(sketched))
+def _kept(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Those of the written ``pairs`` (m1, m2, e1, e2) whose texts are similar."""
     # The pairs of one end go to as many tasks as it takes, each with a copy of the end's text.
     parts = written(pairs.groupBy("e1", "e2").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).cast("int").alias("parts")))
     dealt = pairs.join(parts, ["e1", "e2"]).withColumn("part", F.pmod(F.col("m1"), F.col("parts")).cast("int")).drop("parts")
@@ -197,7 +200,44 @@ def links(docs: DataFrame) -> DataFrame:
     side = lambda x: own.select(F.col("h1").alias(f"{x}1"), F.col("h2").alias(f"{x}2"), F.col("text").alias(f"{x}_text"))
     ends = side("e").join(parts, ["e1", "e2"]).select("e1", "e2", "e_text", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     both = dealt.join(side("m"), ["m1", "m2"]).join(ends, ["e1", "e2", "part"]).select("m1", "m2", "e1", "e2", "m_text", "e_text")
-    return both.mapInArrow(_verified, "m1 long, m2 long, e1 long, e2 long").select(_node("m1", "m2").alias("u"), _node("e1", "e2").alias("v"))
+    return written(both.mapInArrow(_verified, "m1 long, m2 long, e1 long, e2 long").select(_node("m1", "m2").alias("u"), _node("e1", "e2").alias("v")))
+
+
+def _across(members: DataFrame, pivots: int) -> DataFrame:
+    """Distinct pairs of about ``pivots`` members of each bucket with the members of other classes, unless their lengths differ too much. A bucket of no more members has every one of them as a pivot."""
+    drawn = F.shiftrightunsigned(F.xxhash64("h1", "h2", "s"), 11) / F.lit(2.0**53) * F.col("size") < pivots
+    pivot = members.where(drawn).select("s", F.col("h1").alias("e1"), F.col("h2").alias("e2"), F.col("n").alias("en"), F.col("label").alias("e_label"))
+    apart = members.join(pivot, "s").where("label <> e_label").where(F.least("n", "en") >= SIMILARITY * F.greatest("n", "en") - 1e-9)
+    swapped = F.struct("h1", "h2") < F.struct("e1", "e2")
+    # A pair may come in either order; it stays in one of them.
+    low, high = F.least(F.struct("h1", "h2"), F.struct(F.col("e1").alias("h1"), F.col("e2").alias("h2"))), F.greatest(F.struct("h1", "h2"), F.struct(F.col("e1").alias("h1"), F.col("e2").alias("h2")))
+    once = apart.select(low.alias("low"), high.alias("high"), swapped.alias("swapped")).groupBy("low", "high").agg(F.min("swapped").alias("swapped"))
+    m, e = F.when(F.col("swapped"), F.col("low")).otherwise(F.col("high")), F.when(F.col("swapped"), F.col("high")).otherwise(F.col("low"))
+    return once.select(m["h1"].alias("m1"), m["h2"].alias("m2"), e["h1"].alias("e1"), e["h2"].alias("e2"))
+
+
+def links(docs: DataFrame) -> DataFrame:
+    """Verified pairs of different texts: u and v, each the hexadecimal digits of a text's two hashes."""
+    texts = docs.select("text").where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*_keys(F.col("text")), "text")
+    sketched = written(texts.mapInArrow(_sketched, "h1 long, h2 long, n long, sketches array<long>"))
+    pairs = written(candidates(sketched))
+    edges = _kept(pairs, texts)
+    each = sketched.select("h1", "h2", "n", F.explode(F.array_distinct("sketches")).alias("s")).distinct()
+    # The ends have met all members of a bucket of three.
+    sizes = each.groupBy("s").agg(F.count(F.lit(1)).alias("size")).where("size > 3")
+    members = written(each.join(sizes, "s").withColumn("node", _node("h1", "h2")))
+    pivots = PIVOTS
+    while not members.isEmpty():
+        labelled = members.join(components(edges), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        mixed = labelled.groupBy("s").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("s")
+        open_ = written(labelled.join(mixed, "s", "left_semi"))
+        met = pairs.select("m1", "m2", "e1", "e2").unionByName(pairs.select(F.col("e1").alias("m1"), F.col("e2").alias("m2"), F.col("m1").alias("e1"), F.col("m2").alias("e2")))
+        more = written(_across(open_, pivots).join(met, ["m1", "m2", "e1", "e2"], "left_anti"))
+        edges = edges.unionByName(_kept(more, texts))
+        pairs = pairs.unionByName(more)
+        members = open_.where(F.col("size") > pivots).drop("label")
+        pivots *= PIVOTS
+    return edges
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
