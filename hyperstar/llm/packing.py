@@ -20,6 +20,7 @@ import array
 import base64
 import re
 import zlib
+from collections import deque
 from functools import lru_cache
 
 import numpy as np
@@ -32,8 +33,10 @@ from pyspark.sql.window import Window
 from .common import single_thread, table, written
 
 CAPACITY = 2048
-#: Nodes of the search over sequences, and of one enumeration of fillings; past them the best found so far stands.
-NODES, FILLING_NODES, FILLINGS = 4_000, 400, 6
+#: Nodes of the search over sequences, at least, and of one enumeration of fillings; past them the best found so far stands.
+NODES, FILLING_NODES, FILLINGS = 20_000, 400, 6
+#: Whole descents that the search over sequences has nodes for, however deep they are.
+DESCENTS = 8
 #: Strings between spaces whose ids a worker remembers at most.
 REMEMBERED = 300_000
 END_ID = 0
@@ -245,32 +248,65 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
     incumbent = best_fit(counts, capacity)
     if size(incumbent) == least:
         return incumbent
-    nodes = 0
-    # Depth first, with a stack of (lengths left, plan so far, waste so far).
-    stack: list[tuple[dict[int, int], Plan, int]] = [(counts, [], 0)]
-    while stack and nodes < NODES and size(incumbent) > least:
-        left, plan, waste = stack.pop()
-        nodes += 1
-        if not left:
-            if size(plan) < size(incumbent):
-                incumbent = plan
-            continue
-        if total + waste > (size(incumbent) - 1) * capacity or size(plan) + lower_bound_fast(left, capacity) >= size(incumbent):
-            continue
-        largest = max(left)
-        rest = {s: n - (s == largest) for s, n in left.items() if n > (s == largest)}
-        for f in reversed(fillings(rest, sorted(rest, reverse=True), capacity - largest)):
-            use = dict(f)
-            use[largest] = use.get(largest, 0) + 1
-            after = dict(left)
-            step = _apply(after, tuple(sorted(use.items(), reverse=True)))
-            free = capacity - sum(s * n for s, n in step[0])
-            stack.append((after, [*plan, step], waste + free * step[1]))
-        if len(stack) > 4 * FILLINGS * 64:  # forget the oldest alternatives: the search is anytime
-            del stack[: len(stack) // 2]
+    nodes = deepest = 0
+    # A node is (node before, step, sequences, waste, steps, alternatives taken); lengths left follow from its steps,
+    # so alternatives are small and all are kept. A descent takes the first filling throughout; the next one starts at
+    # an alternative with the fewest alternatives before it, by turns the earliest and the latest of these.
+    waiting: dict[int, deque] = {0: deque([(None, None, 0, 0, 0, 0)])}
+    turn = 0
+    while waiting and nodes < max(NODES, DESCENTS * deepest) and size(incumbent) > least:
+        level = min(waiting)
+        node = waiting[level].popleft() if turn % 2 == 0 else waiting[level].pop()
+        turn += 1
+        if not waiting[level]:
+            del waiting[level]
+        left = _left(counts, node)
+        while node is not None:
+            _, _, used, waste, depth, taken = node
+            nodes += 1
+            deepest = max(deepest, depth)
+            if not left:
+                if used < size(incumbent):
+                    incumbent = _steps(node)
+                break
+            if total + waste > (size(incumbent) - 1) * capacity or used + lower_bound_fast(left, capacity) >= size(incumbent):
+                break
+            largest = max(left)
+            rest = {s: n - (s == largest) for s, n in left.items() if n > (s == largest)}
+            first, before = None, dict(left)
+            for k, f in enumerate(fillings(rest, sorted(rest, reverse=True), capacity - largest)):
+                use = dict(f)
+                use[largest] = use.get(largest, 0) + 1
+                filling = tuple(sorted(use.items(), reverse=True))
+                times = min(before[s] // n for s, n in filling)
+                free = capacity - sum(s * n for s, n in filling)
+                child = (node, (filling, times), used + times, waste + free * times, depth + 1, taken + (k > 0))
+                if k == 0:
+                    first = child
+                    _apply(left, filling)
+                else:
+                    waiting.setdefault(taken + 1, deque()).append(child)
+            node = first
     return incumbent
 
 
+def _steps(node: tuple) -> Plan:
+    steps = []
+    while node[0] is not None:
+        steps.append(node[1])
+        node = node[0]
+    return steps[::-1]
+
+
+def _left(counts: dict[int, int], node: tuple) -> dict[int, int]:
+    """The lengths that the steps to ``node`` leave of ``counts``."""
+    left = dict(counts)
+    for filling, times in _steps(node):
+        for s, n in filling:
+            left[s] -= n * times
+    return {s: n for s, n in left.items() if n}
+
+
 def lower_bound_fast(counts: dict[int, int], capacity: int) -> int:
     return max(-(-sum(s * n for s, n in counts.items()) // capacity), sum(n for s, n in counts.items() if 2 * s > capacity))
 

@@ -1,8 +1,9 @@
 """Cases in which an operator once did less than its whole job."""
 
+import collections
 import random
 
-from hyperstar.llm import omh
+from hyperstar.llm import omh, packing
 
 
 def edited(r, words, share):
@@ -17,3 +18,19 @@ def test_variants_of_one_text(spark):
     rows = [(0, " ".join(original))] + [(i, " ".join(edited(r, original, 0.12))) for i in range(1, 1001)]
     classes = [x.class_id for x in omh.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()]
     assert classes.count(0) >= 970
+
+
+def test_packing_keeps_early_alternatives():
+    """Triples that fill a sequence exactly, which one or two descents do not find."""
+    for seed in (2, 8, 15, 19, 20):
+        r, sizes = random.Random(seed), []
+        for _ in range(20):
+            a = r.randrange(250, 500)
+            b = r.randrange(200, 800 - a)
+            sizes += [a, b, 1000 - a - b]
+        plan = packing.bin_completion(dict(collections.Counter(sizes)), 1000)
+        used = collections.Counter()
+        for filling, times in plan:
+            assert sum(s * n for s, n in filling) <= 1000
+            used.update({s: n * times for s, n in filling})
+        assert used == collections.Counter(sizes) and packing.size(plan) == 20
