@@ -4,9 +4,10 @@ The base patterns find assignments, access keys and long hexadecimal strings.
 Beyond them, every candidate string (a long run of token characters) is read
 once per character class: a window slides over the runs of that class, and its
 Shannon entropy follows from counts that each step changes by one character in
-and one out. Windows above the class's threshold are merged to a span. An
-allow-list then suppresses spans that are known not to be secrets; it never
-touches what the base patterns found.
+and one out. Windows above the class's threshold are merged to a span. What an
+allow-list matches, and the digest that a hash's name labels, is cut out of the
+candidate, no more of it; the allow-list never touches what the base patterns
+found.
 
 The texts go through Arrow batches (at most 64 MB by Spark's default); a text
 is scanned whole, and no state outlives it.
@@ -43,17 +44,23 @@ CLASSES = (
 #: Strings that look random and are no secrets.
 ALLOWED = re.compile(
     r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"  # UUID
-    r"|sha(?:1|224|256|384|512)-|integrity|checksum|example|sample|dummy|placeholder|changeme|redacted|xxxx|lorem"
+    r"|sha1-[a-z0-9+/=]{0,40}|sha224-[a-z0-9+/=]{0,56}|sha256-[a-z0-9+/=]{0,64}|sha384-[a-z0-9+/=]{0,96}|sha512-[a-z0-9+/=]{0,128}"
+    r"|(?:integrity|checksum)[\"']?\x20?[:=]\x20?[\"']?[a-z0-9+/=]{0,128}"
+    r"|integrity|checksum|example|sample|dummy|placeholder|changeme|redacted|xxxx|lorem"
     r"|abcdefghij|0123456789|1234567890|qwertyuiop"
 )
+#: Upper- and lower-case letters each that a window without two digits needs, and how far its entropy must be above the threshold; of one case, how far.
+CASES, MIXED_MORE, SINGLE_MORE = 4, 0.1, 0.2
 _BITS = [0.0, *(c * math.log2(c) for c in range(1, WINDOW + 2))]  # a step adds before it takes away
 
 
-def random_runs(text: str, start: int, end: int, threshold: float) -> list[tuple[int, int]]:
-    """The merged windows of text[start:end] whose entropy is at least ``threshold`` and that mix digits with letters."""
+def random_runs(text: str, start: int, end: int, threshold: float, lettered: bool = False, single: bool = False) -> list[tuple[int, int]]:
+    """The merged windows of text[start:end] whose entropy is at least ``threshold`` and that mix digits with letters.
+    With ``lettered``, also those of a higher entropy that mix cases; with ``single``, those of a still higher one that do not."""
     counts: dict[str, int] = {}
     bits, digits, letters, found = 0.0, 0, 0, []
     most = WINDOW * (math.log2(WINDOW) - threshold) + 1e-9  # the sum of c * log2(c) that still meets the threshold
+    mixed, alone = most - WINDOW * MIXED_MORE, most - WINDOW * SINGLE_MORE
     for i in range(start, end):
         c = text[i]
         n = counts.get(c, 0)
@@ -68,8 +75,15 @@ def random_runs(text: str, start: int, end: int, threshold: float) -> list[tuple
             bits += _BITS[n - 1] - _BITS[n]
             digits -= old.isdigit()
             letters -= old.isalpha()
-        if i - start >= WINDOW - 1 and bits <= most and digits >= 2 and letters >= 2:
+        if i - start >= WINDOW - 1 and bits <= most:
             first = i - WINDOW + 1
+            if not (digits >= 2 and letters >= 2):
+                if not lettered or bits > mixed:
+                    continue
+                window = text[first : i + 1]
+                cased = min(sum(map(str.isupper, window)), sum(map(str.islower, window))) >= CASES
+                if not cased and not (single and bits <= alone):
+                    continue
             if found and first <= found[-1][1]:
                 found[-1] = (found[-1][0], i + 1)
             else:
@@ -89,17 +103,28 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
+def _runs(text: str, lo: int, hi: int) -> list[tuple[int, int]]:
+    """The runs of random windows of all classes in text[lo:hi]."""
+    runs: list[tuple[int, int]] = []
+    if hi - lo >= WINDOW:
+        for name, chars, threshold in CLASSES:
+            for r in chars.finditer(text, lo, hi):
+                runs += random_runs(text, r.start(), r.end(), threshold, name != "hex", name == "alnum")
+    return runs
+
+
 def entropy_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Spans that only the entropy of a character class shows, clear of the base spans."""
     spans = []
     for m in CANDIDATE.finditer(text):
         lo, hi = m.span()
-        runs: list[tuple[int, int]] = []
-        for _, chars, threshold in CLASSES:
-            for r in chars.finditer(text, lo, hi):
-                runs += random_runs(text, r.start(), r.end(), threshold)
-        if not runs or ALLOWED.search(text, max(0, lo - 12), hi):
+        runs = _runs(text, lo, hi)
+        if not runs:
             continue
+        allowed = [x.span() for x in ALLOWED.finditer(text, max(0, lo - 12), hi)]
+        if allowed:
+            starts, ends = [lo, *(e for _, e in allowed)], [*(s for s, _ in allowed), hi]
+            runs = [r for a, b in zip(starts, ends, strict=True) for r in _runs(text, a, b)]
         merged: list[tuple[int, int]] = []
         for a, b in sorted(runs):
             if merged and a <= merged[-1][1]:

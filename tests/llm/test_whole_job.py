@@ -2,8 +2,9 @@
 
 import collections
 import random
+import string
 
-from hyperstar.llm import omh, packing
+from hyperstar.llm import omh, packing, secretscan
 
 
 def edited(r, words, share):
@@ -34,3 +35,19 @@ def test_packing_keeps_early_alternatives():
             assert sum(s * n for s, n in filling) <= 1000
             used.update({s: n * times for s, n in filling})
         assert used == collections.Counter(sizes) and packing.size(plan) == 20
+
+
+def test_secrets_of_letters_and_beside_allowed_words():
+    r = random.Random(13)
+    found = 0
+    for _ in range(500):
+        token = "".join(r.choice(string.ascii_letters + string.digits) for _ in range(24))
+        found += any(s <= 4 + 2 and e >= 28 - 2 for s, _, e in secretscan.scan(f"see {token} there")[1])
+    assert found >= 485
+    token = "tR7vK2xQ9mZ4pL8wN3cY6bH1"
+    for text in (f"example-org/repo/{token}", f"sample: {token}", f"{token}xxxx{token}"):
+        assert token not in secretscan.redacted(text)
+    letters = "tRqvKdxQsmZfpLhwNgcYjbHa"
+    assert letters not in secretscan.redacted(f"see {letters} there")
+    plain = "internationalization getElementsByClassNameList some-long-name-of-a-branch Rechtsschutzversicherungsgesellschaften checksum: " + token
+    assert secretscan.redacted(plain) == plain
