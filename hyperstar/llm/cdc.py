@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 #: Bytes of a chunk, bits that make an end, and characters of a span that counts.
-LEAST, MOST, END_BITS, SPAN = 24, 256, 5, 100
+#: A passage loses up to a chunk or so at each side, so this is well under the passages that are to be found.
+LEAST, MOST, END_BITS, SPAN = 24, 256, 5, 50
 _GEAR = np.array([xxhash.xxh3_64_intdigest(bytes([b])) & 0xFFFF for b in range(256)], dtype=np.uint16)
 _NULL_ID = -(2**63)
 

@@ -4,7 +4,7 @@ import collections
 import random
 import string
 
-from hyperstar.llm import omh, packing, secretscan
+from hyperstar.llm import cdc, omh, packing, secretscan
 
 
 def edited(r, words, share):
@@ -51,3 +51,13 @@ def test_secrets_of_letters_and_beside_allowed_words():
     assert letters not in secretscan.redacted(f"see {letters} there")
     plain = "internationalization getElementsByClassNameList some-long-name-of-a-branch Rechtsschutzversicherungsgesellschaften checksum: " + token
     assert secretscan.redacted(plain) == plain
+
+
+def test_passages_of_250_characters(spark):
+    """A passage loses some of its text at each side and is still found."""
+    r = random.Random(17)
+    text = lambda n: " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(2, 9))) for _ in range(n * 2))[: n * 5]
+    passages = [text(50) for _ in range(200)]
+    rows = [(i, f"{text(60)} {passages[i % 200]} {text(60)}") for i in range(400)]
+    spans = cdc.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len({s.doc_id for s in spans if 200 <= s.doc_id < 400}) >= 190 and not any(s.doc_id < 200 for s in spans)
