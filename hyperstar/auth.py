@@ -1,4 +1,4 @@
-"""Who may see which cubes, and which cells of them."""
+"""Who may see which marts, and which cells of them."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ ALL = "*"
 
 @dataclass
 class Right:
-    """Cubes by name, by ``prefix*``, by ``*suffix`` or all by ``*``; cuts and hierarchies' deepest levels by cube, ``*`` for all."""
+    """Marts by name, by ``prefix*``, by ``*suffix`` or all by ``*``; cuts and hierarchies' deepest levels by cube, ``*`` for all."""
 
     roles: set[str] = field(default_factory=set)
     allowed: set[str] = field(default_factory=set)
@@ -24,7 +24,7 @@ class Right:
 
     @classmethod
     def from_dict(cls, desc: dict) -> Right:
-        return cls(set(desc.get("roles") or ()), set(desc.get("allowed_cubes") or ()), set(desc.get("denied_cubes") or ()), {k: list(v) for k, v in (desc.get("cell_restrictions") or {}).items()}, {k: list(v) for k, v in (desc.get("hierarchy_limits") or {}).items()})
+        return cls(set(desc.get("roles") or ()), set(desc.get("allowed_marts") or ()), set(desc.get("denied_marts") or ()), {k: list(v) for k, v in (desc.get("cell_restrictions") or {}).items()}, {k: list(v) for k, v in (desc.get("hierarchy_limits") or {}).items()})
 
     def merge(self, other: Right) -> None:
         self.roles |= other.roles
@@ -49,8 +49,8 @@ class Right:
 class Authorizer:
     """Everything for everyone; a base to build on."""
 
-    def authorize(self, identity, cubes: list) -> list:
-        return list(cubes)
+    def authorize(self, identity, marts: list) -> list:
+        return list(marts)
 
     def restricted_cell(self, identity, cube: Cube, cell: Cell | None) -> Cell:
         return cell or Cell(cube)
@@ -98,12 +98,12 @@ class SimpleAuthorizer(Authorizer):
                 return self.rights[name]
         raise NotAuthorized(f"no rights for '{identity}'")
 
-    def authorize(self, identity, cubes: list) -> list:
+    def authorize(self, identity, marts: list) -> list:
         try:
             right = self.right(identity)
         except NotAuthorized:
             return []
-        return [c for c in cubes if right.allows(c if isinstance(c, str) else c.name, self.allow_after_deny)]
+        return [c for c in marts if right.allows(c if isinstance(c, str) else c.name, self.allow_after_deny)]
 
     def restricted_cell(self, identity, cube: Cube, cell: Cell | None) -> Cell:
         """The cell with hidden cuts to what the identity may see."""

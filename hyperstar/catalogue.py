@@ -45,7 +45,7 @@ MODEL = {
         {"name": "user", "levels": [{"name": "user", "cardinality": "high"}]},
         "segment", "returnflag", "status", "priority", "event_type", "shipyear",
     ],
-    "cubes": [
+    "marts": [
         {
             "name": "sales", "fact": "lineitem",
             "dimensions": ["date", {"name": "date", "alias": "ship_date"}, "geo", {"name": "geo", "alias": "supplier_geo"}, "part", "segment", "returnflag", "status", "shipyear"],
@@ -85,7 +85,7 @@ MODEL = {
 
 
 def browser(spark: SparkSession, sf_dir: str, cube: str = "sales", statements: dict[str, DataFrame] | None = None, change: dict | None = None, **options) -> Browser:
-    provider = ModelProvider(MODEL | ({"cubes": [(c | change if c["name"] == cube else c) for c in MODEL["cubes"]]} if change else {}))
+    provider = ModelProvider(MODEL | ({"marts": [(c | change if c["name"] == cube else c) for c in MODEL["marts"]]} if change else {}))
     space = Namespace()
     space.add_provider(provider)
     made: Cube = space.cube(cube)
@@ -219,7 +219,7 @@ _add("agg_exclude_null", cells(aggregates=["returned_min"], drilldown=["returnfl
 
 def _native(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = browser(spark, sf_dir).aggregate(aggregates=["quantity_sum"], drilldown=["returnflag"]).cells_frame.toDF("flag", "quantity_sum")
-    provider = ModelProvider({"cubes": [{"name": "ready", "dimensions": ["flag"], "aggregates": [{"name": "quantity_sum"}], "mappings": {"flag.flag": "flag"}}], "dimensions": ["flag"]})
+    provider = ModelProvider({"marts": [{"name": "ready", "dimensions": ["flag"], "aggregates": [{"name": "quantity_sum"}], "mappings": {"flag.flag": "flag"}}], "dimensions": ["flag"]})
     cube = provider.cube("ready").link(lambda n: provider.dimension(n))
     return plain(Browser(cube, lambda name, schema: made).aggregate(drilldown=["flag"]).cells_frame)
 
@@ -233,9 +233,10 @@ _add("mapping_function", cells(aggregates=_BASE, drilldown=["shipyear"]), _sel([
 
 def _outer(method: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        # Both whole tables, with keys that have no match on either side.
         store = SparkStore(spark, sf_dir)
-        orders = store.table("orders").where("o_orderstatus = 'F'")
-        customers = store.table("customer").where("c_custkey % 3 = 0")
+        orders = store.table("orders").withColumn("o_custkey", F.expr("CASE WHEN o_orderstatus = 'P' THEN -o_custkey ELSE o_custkey END"))
+        customers = store.table("customer").withColumn("c_custkey", F.expr("CASE WHEN c_acctbal < 1000 THEN -c_custkey - 1000000000 ELSE c_custkey END"))
         joins = [{"master": "o_custkey", "detail": "customer.c_custkey", "method": method}]
         return plain(browser(spark, sf_dir, "orders", {"orders": orders, "customer": customers}, {"joins": joins, "dimensions": ["segment"]}).aggregate(aggregates=["fact_count", "total_sum"], drilldown=["segment"]).cells_frame)
 
@@ -243,14 +244,31 @@ def _outer(method: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 for _method, _kind in (("match", "INNER"), ("master", "LEFT"), ("detail", "RIGHT")):
-    _add(f"join_{_method}", _outer(_method), f"SELECT c_mktsegment AS segment_segment, CAST(count(o_orderkey) AS BIGINT) AS fact_count, round(coalesce(sum(o_totalprice), 0), 4) AS total_sum FROM (SELECT * FROM orders WHERE o_orderstatus = 'F') {_kind} JOIN (SELECT * FROM customer WHERE c_custkey % 3 = 0) ON o_custkey = c_custkey GROUP BY 1")
+    _add(f"join_{_method}", _outer(_method), f"SELECT c_mktsegment AS segment_segment, CAST(count(o_orderkey) AS BIGINT) AS fact_count, round(coalesce(sum(o_totalprice), 0), 4) AS total_sum FROM (SELECT * REPLACE (CASE WHEN o_orderstatus = 'P' THEN -o_custkey ELSE o_custkey END AS o_custkey) FROM orders) {_kind} JOIN (SELECT * REPLACE (CASE WHEN c_acctbal < 1000 THEN -c_custkey - 1000000000 ELSE c_custkey END AS c_custkey) FROM customer) ON o_custkey = c_custkey GROUP BY 1")
+
+
+def _summary_inner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary over customers of five nations only, which just the drilldown joins."""
+    customers = SparkStore(spark, sf_dir).table("customer").where("c_nationkey < 5")
+    return plain(browser(spark, sf_dir, "orders", {"customer": customers}).aggregate(aggregates=["fact_count", "total_sum"], drilldown=["segment"]).summary_frame)
+
+
+_add("summary_inner_join", _summary_inner, "SELECT CAST(count(*) AS BIGINT) AS fact_count, round(sum(o_totalprice), 4) AS total_sum FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey < 5")
+
+
+def _inverted_nonsense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = SparkStore(spark, sf_dir).table("orders").withColumn("o_orderdate", F.expr("CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_orderdate END"))
+    return plain(browser(spark, sf_dir, "orders", {"orders": orders}).aggregate("!date:nonsense", ["fact_count"], ["status"]).cells_frame)
+
+
+_add("cut_inverted_unconvertible", _inverted_nonsense, "SELECT o_orderstatus AS status_status, CAST(count(*) AS BIGINT) AS fact_count FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1")
 _add("join_alias_roleplay", cells(aggregates=_BASE, drilldown=["geo", "supplier_geo"]), _sel([*_REGION, "CAST(r_s.r_regionkey AS BIGINT) AS supplier_geo_region_key", "r_s.r_name AS supplier_geo_region_name"], [_COUNT, _QTY], _L + _G + _S))
 
 
 def _compound(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = SparkStore(spark, sf_dir).table("lineitem")
     detail = lines.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_returnflag").alias("flag"))
-    change = {"dimensions": ["returnflag"], "joins": [{"master": {"column": ["l_orderkey", "l_linenumber"]}, "detail": {"table": "flags", "column": ["l_orderkey", "l_linenumber"]}}], "mappings": {**MODEL["cubes"][0]["mappings"], "returnflag.returnflag": "flags.flag"}, "aggregates": [{"name": "fact_count", "function": "count"}, {"name": "quantity_sum", "measure": "quantity", "function": "sum"}], "measures": ["quantity"]}
+    change = {"dimensions": ["returnflag"], "joins": [{"master": {"column": ["l_orderkey", "l_linenumber"]}, "detail": {"table": "flags", "column": ["l_orderkey", "l_linenumber"]}}], "mappings": {**MODEL["marts"][0]["mappings"], "returnflag.returnflag": "flags.flag"}, "aggregates": [{"name": "fact_count", "function": "count"}, {"name": "quantity_sum", "measure": "quantity", "function": "sum"}], "measures": ["quantity"]}
     return plain(browser(spark, sf_dir, "sales", {"flags": detail}, change).aggregate(drilldown=["returnflag"]).cells_frame)
 
 
@@ -297,6 +315,15 @@ _add("members_in_cell", _members(cell="geo:1|date:1996", dimension="geo"), f"SEL
 _add("members_page", _members(dimension="date", page=1, page_size=15, order=["date.year:desc"]), f"SELECT DISTINCT {_Y}, {_M}, {_D} FROM orders ORDER BY 1 DESC, 2, 3 LIMIT 15 OFFSET 15")
 
 
+def _members_of_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = browser(spark, sf_dir, "orders")
+    cut = b.cell("geo:1,1;2,8;2,9;3,99").cuts[0]
+    return plain(b.members_of_paths(cut, list(cut.paths)))
+
+
+_add("set_details", _members_of_paths, f"SELECT DISTINCT {_GEO2} {_OG} WHERE (r_regionkey = 1 AND n_nationkey = 1) OR (r_regionkey = 2 AND n_nationkey IN (8, 9))")
+
+
 def _path_details(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = browser(spark, sf_dir, "orders").path_details("geo", [1, 1])
     schema = T.StructType([T.StructField(k, T.LongType() if isinstance(v, int) else T.StringType()) for k, v in found.items()])
@@ -388,18 +415,29 @@ _add("conformed_rollup", lambda spark, sf_dir: plain(SparkStore(spark, sf_dir).c
 
 
 def _authorized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rights = {"ann": {"allowed_cubes": ["orders"], "cell_restrictions": {"orders": ["geo:1"]}}}
+    rights = {"ann": {"allowed_marts": ["orders"], "cell_restrictions": {"orders": ["geo:1"]}}}
     w = Workspace(spark, {"store": {"path": sf_dir}}, SimpleAuthorizer(rights))
     w.import_model(MODEL)
     return plain(w.browser("orders", identity="ann").aggregate("date:1996", ["fact_count"], ["geo:nation"]).cells_frame)
 
 
+def _authorized_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the members that a cell names, those that the identity may see."""
+    rights = {"ann": {"allowed_marts": ["orders"], "cell_restrictions": {"orders": ["geo:1"]}}}
+    w = Workspace(spark, {"store": {"path": sf_dir}}, SimpleAuthorizer(rights))
+    w.import_model(MODEL)
+    b = w.browser("orders", identity="ann")
+    cut = b.cell("geo:1;2;3").cuts[0]
+    return plain(b.members_of_paths(cut, list(cut.paths)))
+
+
+_add("authorized_details", _authorized_details, f"SELECT DISTINCT {_GEO} {_OG} WHERE r_regionkey = 1")
 _add("authorized_cell", _authorized, f"SELECT {_GEO2}, CAST(count(*) AS BIGINT) AS fact_count {_OG} WHERE r_regionkey = 1 AND year(o_orderdate) = 1996 GROUP BY ALL")
 
 
 def _localized(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = SparkStore(spark, sf_dir).table("part").select("p_partkey", F.col("p_brand").alias("brand_en"), F.concat(F.lit("Marke "), F.substring("p_brand", 7, 10)).alias("brand_de"))
-    model = {"cubes": [{"name": "parts", "fact": "part", "key": "p_partkey", "dimensions": ["brand"]}], "dimensions": [{"name": "brand", "levels": [{"name": "brand", "attributes": [{"name": "brand", "locales": ["en", "de"]}]}]}]}
+    model = {"marts": [{"name": "parts", "fact": "part", "key": "p_partkey", "dimensions": ["brand"]}], "dimensions": [{"name": "brand", "levels": [{"name": "brand", "attributes": [{"name": "brand", "locales": ["en", "de"]}]}]}]}
     provider = ModelProvider(model)
     cube = provider.cube("parts").link(lambda n: provider.dimension(n))
     return plain(Browser(cube, lambda name, schema: parts, locale="de").aggregate(drilldown=["brand"]).cells_frame)

@@ -28,17 +28,17 @@ def _parser() -> argparse.ArgumentParser:
     c = command("serve", "serve the workspace over HTTP")
     c.add_argument("--host", default="localhost")
     c.add_argument("--port", type=int, default=5000)
-    command("list", "list cubes").add_argument("--verbose", action="store_true")
+    command("list", "list marts").add_argument("--verbose", action="store_true")
     c = command("model", "check or convert a model", config=False)
     c.add_argument("action", choices=["validate", "convert"])
     c.add_argument("model")
     c.add_argument("--target", help="bundle directory, or JSON file, to write")
     c.add_argument("--force", action="store_true")
     c = command("test", "run a query on every cube")
-    c.add_argument("cubes", nargs="*")
+    c.add_argument("marts", nargs="*")
     c.add_argument("--aggregate", action="store_true")
     c = command("denormalize", "make denormalized tables")
-    c.add_argument("cubes", nargs="*")
+    c.add_argument("marts", nargs="*")
     c.add_argument("--materialize", action="store_true")
     c.add_argument("--replace", action="store_true")
     c.add_argument("--index", action="store_true")
@@ -91,9 +91,9 @@ def _run(args, spark, out) -> int:
             print(json.dumps(model, indent=2), file=out)
         return 0
     workspace = Workspace(spark or SparkSession.builder.getOrCreate(), args.config)
-    every = [c["name"] for c in workspace.list_cubes()]
+    every = [c["name"] for c in workspace.list_marts()]
     if args.command == "list":
-        for c in workspace.list_cubes():
+        for c in workspace.list_marts():
             print(f"{c['name']} - {c.get('label') or ''}" if args.verbose else c["name"], file=out)
     elif args.command == "serve":
         from .server import make_server
@@ -101,7 +101,7 @@ def _run(args, spark, out) -> int:
         make_server(workspace, args.host, args.port).serve_forever()
     elif args.command == "test":
         failed = 0
-        for name in args.cubes or every:
+        for name in args.marts or every:
             try:
                 workspace.browser(name).test(args.aggregate)
                 print(f"{name}: ok", file=out)
@@ -110,7 +110,7 @@ def _run(args, spark, out) -> int:
                 print(f"{name}: {type(e).__name__}: {e}", file=out)
         return int(failed > 0)
     elif args.command == "denormalize":
-        for name in args.cubes or every:
+        for name in args.marts or every:
             cube = workspace.cube(name)
             store = workspace.store(cube.store)
             store.create_denormalized_view(cube, materialize=args.materialize, replace=args.replace, create_index=args.index)

@@ -1,4 +1,4 @@
-"""The logical model: cubes, dimensions, hierarchies, levels and attributes."""
+"""The logical model: marts, dimensions, hierarchies, levels and attributes."""
 
 from .attributes import Attribute, Measure, MeasureAggregate
 from .cube import Cube

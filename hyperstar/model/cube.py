@@ -1,4 +1,4 @@
-"""Cubes."""
+"""Marts."""
 
 from __future__ import annotations
 

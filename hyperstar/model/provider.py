@@ -25,7 +25,7 @@ def read_model(source: str | dict) -> dict:
     if os.path.isdir(source):
         with open(os.path.join(source, "model.json"), encoding="utf-8") as f:
             model = json.load(f)
-        for prefix, kind in (("dim_", "dimensions"), ("cube_", "cubes")):
+        for prefix, kind in (("dim_", "dimensions"), ("cube_", "marts")):
             model.setdefault(kind, [])
             for name in sorted(os.listdir(source)):
                 if name.startswith(prefix) and name.endswith(".json"):
@@ -47,8 +47,8 @@ def write_bundle(path: str, model: dict, overwrite: bool = False) -> None:
     if os.path.exists(path) and not overwrite:
         raise ArgumentError(f"'{path}' exists")
     os.makedirs(path, exist_ok=True)
-    parts = {"model": {k: v for k, v in model.items() if k not in ("cubes", "dimensions")}}
-    parts |= {f"dim_{d['name']}": d for d in model.get("dimensions", [])} | {f"cube_{c['name']}": c for c in model.get("cubes", [])}
+    parts = {"model": {k: v for k, v in model.items() if k not in ("marts", "dimensions")}}
+    parts |= {f"dim_{d['name']}": d for d in model.get("dimensions", [])} | {f"cube_{c['name']}": c for c in model.get("marts", [])}
     for name, part in parts.items():
         with open(os.path.join(path, f"{name}.json"), "w", encoding="utf-8") as f:
             json.dump(part, f, indent=2)
@@ -57,13 +57,13 @@ def write_bundle(path: str, model: dict, overwrite: bool = False) -> None:
 def validate(model: dict) -> list[tuple[str, str, str]]:
     """(severity, where, what) of what is wrong with a model as read; empty if nothing is."""
     issues: list[tuple[str, str, str]] = []
-    for kind in ("cubes", "dimensions", "joins"):
+    for kind in ("marts", "dimensions", "joins"):
         if not isinstance(model.get(kind, []), list):
             issues.append(("error", kind, "is not a list"))
             return issues
     if "name" not in model:
         issues.append(("default", "model", "has no name"))
-    for kind in ("cubes", "dimensions"):
+    for kind in ("marts", "dimensions"):
         names = [x if isinstance(x, str) else x.get("name") for x in model.get(kind, [])]
         issues += [("error", kind, f"'{n}' repeats") for n in sorted({n for n in names if n and names.count(n) > 1})]
     dimensions: dict[str, Dimension] = {}
@@ -82,7 +82,7 @@ def validate(model: dict) -> list[tuple[str, str, str]]:
             issues += [("error", f"dimension {d.get('name')}", f"template '{d['template']}' is not in the model") for d in later]
             break
         waiting = later
-    for c in model.get("cubes", []):
+    for c in model.get("marts", []):
         if unknown := sorted(set(c) - _CUBE_KEYS):
             issues.append(("warning", f"cube {c.get('name')}", f"unknown keys {unknown}"))
         try:
@@ -95,20 +95,20 @@ def validate(model: dict) -> list[tuple[str, str, str]]:
 
 
 class ModelProvider:
-    """Serves cubes and dimensions. Subclasses override ``list_cubes``, ``cube`` and ``dimension``; by default the model has them all. Joins and mappings of the model are templates for those of its cubes."""
+    """Serves marts and dimensions. Subclasses override ``list_marts``, ``cube`` and ``dimension``; by default the model has them all. Joins and mappings of the model are templates for those of its marts."""
 
     def __init__(self, model: str | dict | None = None, store: str | None = None):
         self.model = read_model(model or {})
         self.store = store or self.model.get("store") or self.model.get("datastore")
-        for kind in ("cubes", "dimensions"):
+        for kind in ("marts", "dimensions"):
             names = [x if isinstance(x, str) else x.get("name") for x in self.model.get(kind, [])]
             if any(not n for n in names):
                 raise ModelError(f"some of the model's {kind} have no name")
-        self._cubes = {c["name"]: c for c in self.model.get("cubes", [])}
+        self._marts = {c["name"]: c for c in self.model.get("marts", [])}
         self._dimensions = {(d if isinstance(d, str) else d["name"]): d for d in self.model.get("dimensions", [])}
 
-    def list_cubes(self) -> list[dict]:
-        return [{"name": n, "label": c.get("label", n), "category": c.get("category") or (c.get("info") or {}).get("category"), "info": c.get("info") or {}} for n, c in self._cubes.items()]
+    def list_marts(self) -> list[dict]:
+        return [{"name": n, "label": c.get("label", n), "category": c.get("category") or (c.get("info") or {}).get("category"), "info": c.get("info") or {}} for n, c in self._marts.items()]
 
     def has_dimension(self, name: str) -> bool:
         return name in self._dimensions
@@ -124,9 +124,9 @@ class ModelProvider:
 
     def cube(self, name: str, locale: str | None = None) -> Cube:
         """The cube without its dimensions, in the language of ``locale`` if the model has it."""
-        if name not in self._cubes:
+        if name not in self._marts:
             raise NoSuchCubeError(name)
-        desc = dict(self._cubes[name])
+        desc = dict(self._marts[name])
         named = {j["name"]: j for j in self.model.get("joins", []) if isinstance(j, dict) and j.get("name")}
         joins = []
         for j in desc.get("joins") or []:
@@ -142,7 +142,7 @@ class ModelProvider:
 
     def translation(self, name: str, locale: str | None) -> dict:
         t = (self.model.get("translations") or {}).get(locale) or {}
-        own = dict((t.get("cubes") or {}).get(name) or {})
+        own = dict((t.get("marts") or {}).get(name) or {})
         own["dimensions"] = {**(t.get("dimensions") or {}), **(own.get("dimensions") or {})}
         return own
 

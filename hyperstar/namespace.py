@@ -39,7 +39,7 @@ class Namespace:
         here, rest = self.namespace(ref)
         for space, name in ((here, ".".join(rest)), (self, ref)):
             for p in space.providers:
-                if any(c["name"] == name for c in p.list_cubes()):
+                if any(c["name"] == name for c in p.list_marts()):
                     return space, p, name
         raise NoSuchCubeError(ref)
 
@@ -68,10 +68,10 @@ class Namespace:
         cube.namespace = space.path or None
         return provider.localized(cube, locale)
 
-    def list_cubes(self, recursive: bool = False) -> list[dict]:
-        found = [c for p in self.providers for c in p.list_cubes()]
+    def list_marts(self, recursive: bool = False) -> list[dict]:
+        found = [c for p in self.providers for c in p.list_marts()]
         if recursive:
-            found += [c | {"name": f"{n}.{c['name']}"} for n, child in self.children.items() for c in child.list_cubes(True)]
+            found += [c | {"name": f"{n}.{c['name']}"} for n, child in self.children.items() for c in child.list_marts(True)]
         return found
 
 

@@ -23,6 +23,19 @@ from ..plans.star import FACT_KEY, SPLIT, Star, Tables
 from .result import AggregationResult
 
 
+_PAGE = {"order", "page", "page_size"}
+#: What the queries of a report take.
+REPORT_ARGUMENTS = {
+    "aggregate": {"aggregates", "drilldown", "split", "measures"} | _PAGE,
+    "facts": {"fields", "fact_list"} | _PAGE,
+    "fact": {"key", "fields"},
+    "members": {"dimension", "depth", "level", "hierarchy", "attributes"} | _PAGE,
+    "values": {"dimension", "depth", "level", "hierarchy", "attributes"} | _PAGE,
+    "details": {"dimension"},
+    "cell": set(),
+}
+
+
 class Browser:
     """Queries one cube. Plans are built on the driver from Columns; nothing runs before a result is fetched.
 
@@ -31,6 +44,9 @@ class Browser:
     ``safe_labels`` (facts with columns a0, a1 ...).
     """
 
+    #: The cell that details of members are looked up in; None for all members.
+    visible: Cell | None = None
+
     def __init__(self, cube: Cube, tables: Tables, *, statements: dict[str, DataFrame] | None = None, locale: str | None = None, calendar: Calendar | None = None, mapper: Mapper | None = None, naming: Naming | None = None, **options):
         self.cube, self.locale, self.calendar, self.options = cube, locale, calendar or Calendar(), options
         self.mapper = mapper or Mapper(cube, naming or Naming.from_options(options), locale)
@@ -155,9 +171,9 @@ class Browser:
                 found.append(a)
         return found
 
-    def grouped(self, cell: Cell, aggregates: list[MeasureAggregate], drilldown: Drilldown, split: Cell | None = None) -> DataFrame:
-        """One plan: the pruned star, its rows in the cell, grouped by every attribute down to the drilled levels."""
-        needed = [*drilldown.attributes, *self.star.cell_attributes(cell), *self.star.cell_attributes(split), *self._aggregate_inputs(aggregates)]
+    def grouped(self, cell: Cell, aggregates: list[MeasureAggregate], drilldown: Drilldown, split: Cell | None = None, joined: list[Attribute] | None = None) -> DataFrame:
+        """One plan: the pruned star, its rows in the cell, grouped by every attribute down to the drilled levels. The tables of ``joined`` are joined, too."""
+        needed = [*drilldown.attributes, *self.star.cell_attributes(cell), *self.star.cell_attributes(split), *self._aggregate_inputs(aggregates), *(joined or [])]
         df = self.star.frame(needed)
         condition = self.star.condition(cell)
         if condition is not None:
@@ -201,7 +217,8 @@ class Browser:
         shown = [a.name for a in chosen]
         result = AggregationResult(cell, shown, drill, has_split=split is not None, attributes=[a.ref for a in drill.attributes], levels=drill.result_levels())
         if self.include_summary or not (len(drill) or split is not None):
-            summary = self.grouped(cell, chosen, Drilldown([], cell))
+            # Inner joins drop rows, so the summary has the joins of the cells that it sums up.
+            summary = self.grouped(cell, chosen, Drilldown([], cell), joined=[*drill.attributes, *self.star.cell_attributes(split)])
             result.summary_frame = summary.select(*(F.col(f"`{n}`") for n in shown if n in summary.columns))
         if len(drill) or split is not None:
             cells = self._moving(self.grouped(cell, chosen, drill, split), chosen, drill, split)
@@ -261,33 +278,47 @@ class Browser:
         return self._paged(self._sorted(out, by), page, page_size)
 
     def path_details(self, dimension, path, hierarchy=None) -> dict | None:
-        """The attributes of the member that a path leads to."""
+        """The attributes of the member that a path leads to, None if there is none or it is not visible."""
         d = self.cube.dimension(dimension)
-        h = d.hierarchy(hierarchy)
-        cut = PointCut(d.name, path, h.name)
-        chosen = [a for x in h.levels_for_path(path) for a in x.attributes]
-        df = self.star.frame(chosen).where(self.star.cut_condition(cut))
-        found = df.select(*(self.star.column(a).alias(a.ref) for a in chosen)).limit(1).collect()
-        return found[0].asDict() if found else None
+        return self._details(PointCut(d.name, path, d.hierarchy(hierarchy).name), [path])[0]
+
+    def members_of_paths(self, cut: Cut, paths: list) -> DataFrame:
+        """A row per visible member that one of ``paths``, all of one length, leads to, with all its attributes."""
+        levels = self.cube.dimension(cut.dimension).hierarchy(cut.hierarchy).levels_for_path(paths[0])
+        keys = [x.key for x in levels]
+        rest = [a for x in levels for a in x.attributes if a not in keys]
+        df = self.star.frame([*keys, *rest, *self.star.cell_attributes(self.visible)]).where(self.star.cut_condition(SetCut(cut.dimension, paths, cut.hierarchy)))
+        condition = self.star.condition(self.visible)
+        df = df if condition is None else df.where(condition)
+        by = [self.star.column(k).alias(k.ref) for k in keys]
+        return df.groupBy(*by).agg(*(F.first(self.star.column(a)).alias(a.ref) for a in rest)) if rest else df.select(*by).distinct()
+
+    def _details(self, cut: Cut, paths: list) -> list[dict | None]:
+        """The attributes of the members of ``paths``, with one job for all paths of one length."""
+        found: dict[tuple, dict] = {}
+        for depth in sorted({len(p) for p in paths}):
+            own = [p for p in paths if len(p) == depth]
+            refs = [x.key.ref for x in self.cube.dimension(cut.dimension).hierarchy(cut.hierarchy).levels_for_path(own[0])]
+            found |= {tuple(r[k] for k in refs): r.asDict() for r in self.members_of_paths(cut, own).collect()}  # as many rows as paths, at most
+        return [found.get(self.star.typed_path(cut, p)) for p in paths]
 
     def cut_details(self, cut: Cut):
         """For a point a list with a dictionary per level, for a set a list of those, for a range those of its ends."""
         if isinstance(cut, PointCut):
-            return self._level_details(cut, cut.path)
+            return self._level_details(cut, [cut.path])[0]
         if isinstance(cut, SetCut):
-            return [self._level_details(cut, p) for p in cut.paths]
+            return self._level_details(cut, list(cut.paths))
         if isinstance(cut, RangeCut):
-            return {"from": self._level_details(cut, cut.from_path), "to": self._level_details(cut, cut.to_path)}
+            ends = self._level_details(cut, [cut.from_path, cut.to_path])
+            return {"from": ends[0], "to": ends[1]}
         raise ArgumentError(f"unknown kind of cut: {cut!r}")
 
-    def _level_details(self, cut: Cut, path) -> list[dict] | None:
-        if not path:
-            return None
-        found = self.path_details(cut.dimension, path, cut.hierarchy)
-        if found is None:
-            return None
+    def _level_details(self, cut: Cut, paths: list) -> list[list[dict] | None]:
         h = self.cube.dimension(cut.dimension).hierarchy(cut.hierarchy)
-        return [{a.ref: found[a.ref] for a in x.attributes} | {"_key": found[x.key.ref], "_label": found[x.label_attribute.ref]} for x in h.levels_for_path(path)]
+        there = [p for p in paths if p]
+        found = dict(zip(map(tuple, there), self._details(cut, there), strict=True))
+        shown = lambda p, r: [{a.ref: r[a.ref] for a in x.attributes} | {"_key": r[x.key.ref], "_label": r[x.label_attribute.ref]} for x in h.levels_for_path(p)]
+        return [shown(p, r) if p and (r := found[tuple(p)]) is not None else None for p in paths]
 
     def cell_details(self, cell, dimension=None) -> list:
         cell = self.cell(cell)
@@ -301,6 +332,8 @@ class Browser:
         for name, spec in queries.items():
             args = dict(spec)
             kind, rollup = args.pop("query", None), args.pop("rollup", None)
+            if odd := sorted(args.keys() - REPORT_ARGUMENTS.get(kind, args.keys())):
+                raise ArgumentError(f"unknown arguments in report '{name}': {', '.join(odd)}")
             here = cell.rollup(rollup) if rollup else cell
             if kind == "aggregate":
                 out[name] = self.aggregate(here, **args)

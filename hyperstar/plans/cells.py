@@ -221,7 +221,7 @@ class Cell:
 
     def __and__(self, other: Cell) -> Cell:
         if self.cube is not None and other.cube is not None and self.cube.name != other.cube.name:
-            raise ArgumentError(f"cells of cubes '{self.cube.name}' and '{other.cube.name}' do not combine")
+            raise ArgumentError(f"cells of marts '{self.cube.name}' and '{other.cube.name}' do not combine")
         return Cell(self.cube or other.cube, [*self.cuts, *other.cuts])
 
     def slice(self, cut: Cut) -> Cell:

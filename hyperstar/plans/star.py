@@ -197,11 +197,43 @@ class Star:
             raise ArgumentError(f"unknown kind of cut: {cut!r}")
         return ~made if cut.invert else made
 
+    def typed_path(self, cut: Cut, path) -> tuple:
+        """The elements of a path as values of their columns."""
+        return tuple(_typed(v, self.type_of(x.key)) for x, v in zip(self._levels(cut, len(path)), path, strict=True))
+
+    def _period(self, cut: Cut, path) -> tuple[Column, Column, Column] | None:
+        """Where the first levels of a path are parts of one date or time column: that column, the start of the
+        period that they name, and its end. A comparison with these follows from one of the parts, and it is one
+        that files, row groups and partitions can be pruned by, which extracted parts are not."""
+        values: dict[str, int] = {}
+        base = None
+        for level, value in zip(self._levels(cut, len(path)), path, strict=True):
+            ref = None if level.key.expression else self.mapper.physical(level.key)
+            part = str(ref.extract).lower() if ref is not None and ref.extract and not ref.function else None
+            if part not in _PERIODS or (base is None and part != "year") or (base is not None and (ref.table, ref.column) != (base.table, base.column)):
+                break
+            whole = _typed(value, T.LongType())
+            if not isinstance(whole, int) or not _PERIODS[part][0] <= whole <= _PERIODS[part][1]:
+                return None
+            values[part], base = whole, ref
+        kind = self.table(base.table or self.fact_name).schema[base.column].dataType if base is not None else None
+        if not isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+            return None
+        start, end = _span(values)
+        if start is None:
+            return None
+        if isinstance(kind, T.TimestampType):  # a day more on each side, as clocks of a zone may be set back over midnight
+            start, end = start - datetime.timedelta(days=1), end + datetime.timedelta(days=1)
+        made = lambda d: F.lit(d.isoformat()).cast(kind)
+        return self._at(base.table or self.fact_name, base.column), made(start), made(end)
+
     def _keys(self, cut: Cut, path) -> list[tuple[Column, Any]]:
         return [(self.column(x.key), _typed(v, self.type_of(x.key))) for x, v in zip(self._levels(cut, len(path)), path, strict=True)]
 
     def _point(self, cut: Cut, path) -> Column:
         parts = [_compared(k, "=", v) for k, v in self._keys(cut, path)]
+        if period := self._period(cut, path):
+            parts = [period[0] >= period[1], period[0] < period[2], *parts]
         return reduce(lambda a, b: a & b, parts) if parts else F.lit(True)
 
     def _set(self, cut: SetCut) -> Column:
@@ -209,7 +241,12 @@ class Star:
         if len(flat) == len(cut.paths) and flat and all(p[0] is not None for p in flat):
             key = self._levels(cut, 1)[0].key
             values = [v for p in flat if (v := _typed(p[0], self.type_of(key))) is not _NO_VALUE]
-            return self.column(key).isin(values) if values else F.lit(False)
+            made = self.column(key).isin(values) if values else _nothing(self.column(key))
+            periods = [self._period(cut, p) for p in flat if _typed(p[0], self.type_of(key)) is not _NO_VALUE]
+            if periods and all(periods):
+                base = periods[0][0]
+                made = (base >= F.least(*(p[1] for p in periods), periods[0][1])) & (base < F.greatest(*(p[2] for p in periods), periods[0][2])) & made
+            return made
         parts = [self._point(cut, p) for p in cut.paths]
         return reduce(lambda a, b: a | b, parts) if parts else F.lit(False)
 
@@ -219,6 +256,8 @@ class Star:
         made = _compared(key, last, value)
         for k, v in reversed(outer):
             made = _compared(k, strict, v) | (_compared(k, "=", v) & made)
+        if period := self._period(cut, path):
+            made = (period[0] >= period[1] if strict == ">" else period[0] < period[2]) & made
         return made
 
     def split_column(self, split: Cell) -> Column:
@@ -253,9 +292,32 @@ def _typed(value: Any, kind: T.DataType | None) -> Any:
     return value
 
 
+#: Parts of a date that name a period, with their least and greatest values.
+_PERIODS = {"year": (1, 9998), "quarter": (1, 4), "month": (1, 12), "day": (1, 31)}
+
+
+def _span(values: dict[str, int]) -> tuple[datetime.date | None, datetime.date | None]:
+    """The first day of the period that the parts name, and the day after its last; None if there is no such period."""
+    year, quarter, month, day = (values.get(k) for k in ("year", "quarter", "month", "day"))
+    if month is None and quarter is None:
+        return datetime.date(year, 1, 1), datetime.date(year + 1, 1, 1)
+    first, n = (month, 1) if month is not None else (3 * quarter - 2, 3)
+    start, after = datetime.date(year, first, 1), datetime.date(year + (first + n > 12), (first + n - 1) % 12 + 1, 1)
+    if day is None or month is None:
+        return start, after
+    if day > (after - start).days:
+        return None, None
+    return start.replace(day=day), start.replace(day=day) + datetime.timedelta(days=1)
+
+
+def _nothing(key: Column) -> Column:
+    """False, and null for a null key: equals nothing, and so does its negation for nulls."""
+    return F.when(key.isNotNull(), F.lit(False))
+
+
 def _compared(key: Column, op: str, value: Any) -> Column:
     if value is _NO_VALUE:
-        return F.lit(False)
+        return _nothing(key)
     if value is None:
         return key.isNull() if op in ("=", ">=", "<=") else F.lit(False)
     return {"=": key == value, ">": key > value, ">=": key >= value, "<": key < value, "<=": key <= value}[op]

@@ -1,13 +1,16 @@
 """The query interface over HTTP, with the standard library's server.
 
-GET  /  /version  /info  /cubes  /cube/NAME/model|aggregate|facts|fact/KEY|members/DIMENSION|cell
+GET  /  /version  /info  /marts  /cube/NAME/model|aggregate|facts|fact/KEY|members/DIMENSION|cell
 POST /cube/NAME/report
 Parameters: cut, drilldown, aggregates, split, order, page, pagesize, fields, format, header, lang, locale; lists go by ``|``.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
+from collections.abc import Iterator
+from dataclasses import replace
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from typing import Any
 from urllib.parse import parse_qs, unquote, urlsplit
@@ -31,12 +34,19 @@ class Service:
 
     def answer(self, method: str, path: str, args: dict[str, str] | None = None, body: bytes = b"", identity=None) -> tuple[int, str, bytes]:
         """(status, content type, content)."""
+        status, kind, content = self.streamed(method, path, args, body, identity)
+        return status, kind, b"".join(content)
+
+    def streamed(self, method: str, path: str, args: dict[str, str] | None = None, body: bytes = b"", identity=None) -> tuple[int, str, Iterator[bytes]]:
+        """(status, content type, content in parts). Lists of rows come as Spark gives them, a partition at a time; the first part is there already."""
         try:
             kind, content = self._answer(method, [unquote(x) for x in path.strip("/").split("/") if x], args or {}, body, identity)
-            return 200, TYPES.get(kind, kind), content if isinstance(content, bytes) else content.encode()
+            parts = iter([content] if isinstance(content, (bytes, str)) else content)
+            first = list(itertools.islice(parts, 1))
+            return 200, TYPES.get(kind, kind), (x if isinstance(x, bytes) else x.encode() for x in itertools.chain(first, parts))
         except HyperstarError as e:
             status = 404 if isinstance(e, MissingObjectError) else 403 if isinstance(e, NotAuthorized) else 400 if isinstance(e, UserError) else 500
-            return status, TYPES["json"], output.to_json({"error": getattr(e, "kind", "error"), "message": str(e)}).encode()
+            return status, TYPES["json"], iter([output.to_json({"error": getattr(e, "kind", "error"), "message": str(e)}).encode()])
 
     def _answer(self, method: str, parts: list[str], args: dict, body: bytes, identity) -> tuple[str, Any]:
         if not parts:
@@ -46,8 +56,8 @@ class Service:
         if parts[0] == "info":
             info = self.workspace.config.get("info", {})
             return "json", output.to_json(info | {"json_record_limit": self.record_limit, "timezone": str(self.workspace.calendar.zone or "")})
-        if parts[0] == "cubes":
-            return "json", output.to_json(self.workspace.list_cubes(identity))
+        if parts[0] == "marts":
+            return "json", output.to_json(self.workspace.list_marts(identity))
         if parts[0] != "cube" or len(parts) < 3:
             raise MissingObjectError("/".join(parts))
         locale = args.get("lang") or args.get("locale")
@@ -103,11 +113,15 @@ class Service:
         header = args.get("header", "labels")
         heading = output.labels_of(browser.cube, fields) if header == "labels" else None
         if kind == "json":
-            return kind, output.to_json(source.to_dict() if isinstance(source, AggregationResult) else list(self._limited(source)))
+            if isinstance(source, AggregationResult):
+                if source.cells_frame is not None:
+                    source = replace(source, cells_frame=source.cells_frame.limit(self.record_limit))
+                return kind, output.to_json(source.to_dict())
+            return kind, output.to_json(list(self._limited(source)))
         if kind == "json_lines":
-            return kind, "".join(output.json_lines(source))
+            return kind, output.json_lines(source)
         if kind == "csv":
-            return kind, "".join(output.csv_lines(source, fields, heading, include_header=header != "none", lineterminator="\n"))
+            return kind, output.csv_lines(source, fields, heading, include_header=header != "none", lineterminator="\n")
         if kind == "xlsx":
             return kind, output.to_xlsx(source, fields, heading)
         raise ArgumentError(f"unknown format '{kind}'")
@@ -152,14 +166,13 @@ def make_server(workspace: Workspace, host: str = "localhost", port: int = 5000,
             args = {k: v[-1] for k, v in parse_qs(url.query, keep_blank_values=True).items()}
             body = self.rfile.read(int(self.headers.get("Content-Length") or 0))
             try:
-                status, kind, content = service.answer(method, url.path, args, body, identity_of(authentication, self.headers, args))
+                status, kind, content = service.streamed(method, url.path, args, body, identity_of(authentication, self.headers, args))
             except HyperstarError as e:
-                status, kind, content = 401, TYPES["json"], output.to_json({"error": str(e)}).encode()
+                status, kind, content = 401, TYPES["json"], iter([output.to_json({"error": str(e)}).encode()])
             self.send_response(status)
             self.send_header("Content-Type", kind)
-            self.send_header("Content-Length", str(len(content)))
-            self.end_headers()
-            self.wfile.write(content)
+            self.end_headers()  # the end of the connection ends the content
+            self.wfile.writelines(content)
 
         def do_GET(self) -> None:  # noqa: N802
             self._serve("GET")

@@ -1,4 +1,4 @@
-"""Cubes of another server of this library, over HTTP."""
+"""Marts of another server of this library, over HTTP."""
 
 from __future__ import annotations
 
@@ -31,16 +31,16 @@ class RemoteStore:
 
 
 class RemoteProvider(ModelProvider):
-    """The models of a remote server's cubes."""
+    """The models of a remote server's marts."""
 
     def __init__(self, store: RemoteStore):
-        cubes, dimensions = [], {}
-        for c in store.request("cubes"):
+        marts, dimensions = [], {}
+        for c in store.request("marts"):
             model = store.cube_request(c["name"], "model")
             for d in model["dimensions"]:
                 dimensions.setdefault(d["name"], {k: v for k, v in d.items() if k not in ("is_flat", "has_details")})
-            cubes.append({k: v for k, v in model.items() if k not in ("features", "locale")} | {"dimensions": [d["name"] for d in model["dimensions"]]})
-        super().__init__({"cubes": cubes, "dimensions": list(dimensions.values())})
+            marts.append({k: v for k, v in model.items() if k not in ("features", "locale")} | {"dimensions": [d["name"] for d in model["dimensions"]]})
+        super().__init__({"marts": marts, "dimensions": list(dimensions.values())})
 
 
 class RemoteBrowser:

@@ -1,4 +1,4 @@
-"""Stores of physical tables, and what is made of cubes in them."""
+"""Stores of physical tables, and what is made of marts in them."""
 
 from __future__ import annotations
 
@@ -63,7 +63,7 @@ class SparkStore:
     # Discovery
 
     def discover_facts(self) -> list[str]:
-        """Names of cubes whose fact tables the naming conventions tell."""
+        """Names of marts whose fact tables the naming conventions tell."""
         return self.naming.facts(self.table_names())
 
     def discover_dimensions(self) -> list[str]:
@@ -75,7 +75,7 @@ class SparkStore:
         fields = [f for f in self.table(table, self.naming.fact_schema).schema.fields if f.name != self.naming.fact_key and not f.name.endswith(("_key", "_id"))]
         measures = [f.name for f in fields if isinstance(f.dataType, T.NumericType)]
         dimensions = [f.name for f in fields if isinstance(f.dataType, (T.StringType, T.DateType, T.BooleanType))]
-        return {"cubes": [{"name": fact, "fact": table, "measures": measures, "dimensions": dimensions, "implicit_aggregates": True}], "dimensions": dimensions}
+        return {"marts": [{"name": fact, "fact": table, "measures": measures, "dimensions": dimensions, "implicit_aggregates": True}], "dimensions": dimensions}
 
     def validate(self, cube: Cube, locale: str | None = None) -> list[tuple[str, str, str]]:
         """(kind, where, what): joins and attributes that the physical tables do not have."""

@@ -1 +1 @@
-"""Cubes over streams. An addition of this library."""
+"""Marts over streams. An addition of this library."""

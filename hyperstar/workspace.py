@@ -31,7 +31,7 @@ class Workspace:
         self.browser_options = {k: _typed(v) for k, v in self.config.get("browser", {}).items()}
         self.namespace = Namespace()
         self.stores: dict[str, SparkStore] = {}
-        self._cubes: dict[tuple, Cube] = {}
+        self._marts: dict[tuple, Cube] = {}
         for section, options in self.config.items():
             if section == "store" or section.startswith("store "):
                 self.register_store(section.removeprefix("store").strip() or "default", **{k: _typed(v) for k, v in options.items() if k != "type"})
@@ -73,12 +73,12 @@ class Workspace:
         if translations:
             provider.model = provider.model | {"translations": {**provider.model.get("translations", {}), **translations}}
         (self.namespace.create_namespace(namespace) if namespace else self.namespace).add_provider(provider)
-        self._cubes.clear()
+        self._marts.clear()
 
-    # Cubes
+    # Marts
 
-    def list_cubes(self, identity=None) -> list[dict]:
-        found = self.namespace.list_cubes(recursive=True)
+    def list_marts(self, identity=None) -> list[dict]:
+        found = self.namespace.list_marts(recursive=True)
         if self.authorizer is not None:
             names = set(self.authorizer.authorize(identity, [c["name"] for c in found]))
             found = [c for c in found if c["name"] in names]
@@ -88,12 +88,12 @@ class Workspace:
         if self.authorizer is not None and not self.authorizer.authorize(identity, [ref]):
             raise NotAuthorized(f"no right to cube '{ref}'")
         key = (ref, identity, locale)
-        if key not in self._cubes:
+        if key not in self._marts:
             cube = self.namespace.cube(ref, locale)
             if isinstance(self.authorizer, SimpleAuthorizer):
                 cube = self.authorizer.limited(identity, cube)
-            self._cubes[key] = cube
-        return self._cubes[key]
+            self._marts[key] = cube
+        return self._marts[key]
 
     def dimension(self, name: str, locale: str | None = None) -> Dimension:
         return self.namespace.find_dimension(name)
@@ -120,15 +120,12 @@ class _Restricted(Browser):
     def of(cls, browser: Browser, authorizer: Authorizer, identity) -> _Restricted:
         browser.__class__ = cls
         browser.authorizer, browser.identity = authorizer, identity
+        browser.visible = authorizer.restricted_cell(identity, browser.cube, Cell(browser.cube))
         return browser
 
     def cell(self, cell=None) -> Cell:
         made = super().cell(cell)
-        allowed = self.authorizer.restricted_cell(self.identity, self.cube, Cell(self.cube))
-        return made & Cell(self.cube, [c for c in allowed.cuts if c not in made.cuts])
-
-    def facts(self, cell=None, fields=None, order=None, page=None, page_size=None, fact_list=None):
-        return super().facts(cell, fields, order, page, page_size, fact_list)
+        return made & Cell(self.cube, [c for c in self.visible.cuts if c not in made.cuts])
 
 
 def _read_config(config: dict | str | None) -> dict:

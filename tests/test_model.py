@@ -59,7 +59,7 @@ def test_templates():
 
 
 def test_template_circles():
-    p = ModelProvider({"cubes": [{"name": "c", "dimensions": ["a"]}], "dimensions": [{"name": "a", "template": "b"}, {"name": "b", "template": "a"}]})
+    p = ModelProvider({"marts": [{"name": "c", "dimensions": ["a"]}], "dimensions": [{"name": "a", "template": "b"}, {"name": "b", "template": "a"}]})
     space = Namespace()
     space.add_provider(p)
     with pytest.raises(ModelError):
@@ -86,8 +86,8 @@ def test_aggregates():
         Measure("m", nonadditive="sometimes")
 
 
-def test_attributes_of_cubes():
-    p = ModelProvider({"cubes": [{"name": "c", "dimensions": ["flag", "date"], "measures": ["amount"], "details": ["note"]}], "dimensions": ["flag", DATE]})
+def test_attributes_of_marts():
+    p = ModelProvider({"marts": [{"name": "c", "dimensions": ["flag", "date"], "measures": ["amount"], "details": ["note"]}], "dimensions": ["flag", DATE]})
     c = p.cube("c").link(p.dimension)
     assert c.attribute("flag").ref == "flag.flag" and c.attribute("date.month").name == "month"
     with pytest.raises(NoSuchAttributeError):
@@ -99,7 +99,7 @@ def test_attributes_of_cubes():
 
 
 def test_two_links_of_one_dimension():
-    p = ModelProvider({"cubes": [{"name": "c", "dimensions": ["date", {"name": "date", "alias": "shipped"}]}], "dimensions": [DATE]})
+    p = ModelProvider({"marts": [{"name": "c", "dimensions": ["date", {"name": "date", "alias": "shipped"}]}], "dimensions": [DATE]})
     assert list(p.cube("c").link(p.dimension).dimensions) == ["date", "shipped"]
 
 
@@ -114,31 +114,31 @@ def test_dependencies():
 
 
 def test_join_and_mapping_templates():
-    p = ModelProvider({"joins": [{"name": "d", "master": "f.k", "detail": "d.k"}], "mappings": {"x": "t.x"}, "cubes": [{"name": "c", "joins": [{"name": "d", "method": "master"}], "mappings": {"y": "t.y"}}]})
+    p = ModelProvider({"joins": [{"name": "d", "master": "f.k", "detail": "d.k"}], "mappings": {"x": "t.x"}, "marts": [{"name": "c", "joins": [{"name": "d", "method": "master"}], "mappings": {"y": "t.y"}}]})
     c = p.cube("c")
     assert c.joins == [{"name": "d", "master": "f.k", "detail": "d.k", "method": "master"}] and c.mappings == {"x": "t.x", "y": "t.y"}
 
 
 def test_bundles(tmp_path):
-    model = {"name": "m", "cubes": [{"name": "c", "dimensions": ["date"]}], "dimensions": [DATE]}
+    model = {"name": "m", "marts": [{"name": "c", "dimensions": ["date"]}], "dimensions": [DATE]}
     write_bundle(str(tmp_path / "m.bundle"), model)
-    assert read_model(str(tmp_path / "m.bundle")) == {"name": "m", "cubes": model["cubes"], "dimensions": [DATE]}
+    assert read_model(str(tmp_path / "m.bundle")) == {"name": "m", "marts": model["marts"], "dimensions": [DATE]}
     (tmp_path / "m.json").write_text(json.dumps(model))
-    assert ModelProvider(str(tmp_path / "m.json")).list_cubes()[0]["name"] == "c"
+    assert ModelProvider(str(tmp_path / "m.json")).list_marts()[0]["name"] == "c"
 
 
 def test_validation():
-    assert validate({"name": "m", "cubes": [{"name": "c", "dimensions": ["d"], "measures": ["x"], "aggregates": [{"name": "s", "measure": "x", "function": "sum"}]}], "dimensions": ["d"]}) == []
-    issues = validate({"cubes": [{"name": "c", "aggregates": [{"name": "s", "function": "sum"}], "odd": 1}, {"name": "c"}], "dimensions": [{"name": "d", "template": "none"}]})
+    assert validate({"name": "m", "marts": [{"name": "c", "dimensions": ["d"], "measures": ["x"], "aggregates": [{"name": "s", "measure": "x", "function": "sum"}]}], "dimensions": ["d"]}) == []
+    issues = validate({"marts": [{"name": "c", "aggregates": [{"name": "s", "function": "sum"}], "odd": 1}, {"name": "c"}], "dimensions": [{"name": "d", "template": "none"}]})
     assert {s for s, _, _ in issues} == {"default", "error", "warning"}
 
 
 def test_namespaces_and_languages():
     top = Namespace()
     top.add_provider(ModelProvider({"dimensions": ["flag"]}))
-    own = {"cubes": [{"name": "c", "label": "Cube", "dimensions": ["flag"]}], "translations": {"de": {"cubes": {"c": {"label": "Würfel", "dimensions": {"flag": {"label": "Fahne"}}}}}}}
+    own = {"marts": [{"name": "c", "label": "Cube", "dimensions": ["flag"]}], "translations": {"de": {"marts": {"c": {"label": "Würfel", "dimensions": {"flag": {"label": "Fahne"}}}}}}}
     top.create_namespace("a.b").add_provider(ModelProvider(own))
     assert top.cube("a.b.c").dimension("flag").name == "flag"
     german = top.cube("a.b.c", "de")
     assert german.label == "Würfel" and german.dimension("flag").label == "Fahne" and german.namespace == "a.b"
-    assert [c["name"] for c in top.list_cubes(recursive=True)] == ["a.b.c"]
+    assert [c["name"] for c in top.list_marts(recursive=True)] == ["a.b.c"]
