@@ -6,10 +6,13 @@
 2. The counts of pieces by length, at most one row per length (2048), are all
    that the packing needs. They go to the driver, which runs bin completion on
    the multiset of lengths: around the largest length left it enumerates
-   undominated fillings, applies one as often as the counts allow, and prunes
-   by the waste that a better packing could still afford, from a best-fit
-   packing as the first incumbent. The plan has one entry per filling and
-   length, so its size does not depend on the corpus.
+   undominated fillings and branches on the filling and on how often it is
+   used, from as often as the counts allow down to once. It prunes by the waste
+   that a better packing could still afford; best-fit packings of what is left
+   are the incumbents. Branches wait unopened and none is dropped; the search
+   ends when they are all done, when a lower bound is met or after a stated
+   number of nodes. The plan has one entry per filling and length, so its size
+   does not depend on the corpus.
 3. A piece's rank among all pieces of its length (its number in its task plus
    the counts of the tasks before) picks its place in the plan.
 """
@@ -22,6 +25,7 @@ import re
 import zlib
 from collections import deque
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +37,12 @@ from pyspark.sql.window import Window
 from .common import single_thread, table, written
 
 CAPACITY = 2048
-#: Nodes of the search over sequences, at least, and of one enumeration of fillings; past them the best found so far stands.
-NODES, FILLING_NODES, FILLINGS = 20_000, 400, 6
-#: Whole descents that the search over sequences has nodes for, however deep they are.
-DESCENTS = 8
+#: Nodes of the search over sequences, at least, and whole descents that it has nodes for, however deep they are; past them the best found so far stands.
+NODES, DESCENTS = 20_000, 8
+#: Nodes of the enumeration of fillings for the first branch of a node and for all of its branches, and steps of one test of dominance (a filling that is not tested to the end is kept).
+FIRST_NODES, ALL_NODES, STEPS = 400, 20_000, 300
+#: Fillings without waste that end the first enumeration.
+EXACT = 6
 #: Strings between spaces whose ids a worker remembers at most.
 REMEMBERED = 300_000
 END_ID = 0
@@ -163,46 +169,53 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
 Filling = tuple[tuple[int, int], ...]
 
 
-def _fits(inner: list[int], outer: list[int]) -> bool:
-    """Whether the lengths of ``inner`` can be put, several together, into rooms as large as those of ``outer``."""
-    if not inner:
-        return True
-    x, rest = inner[0], inner[1:]
-    for i, room in enumerate(outer):
-        if room >= x and room not in outer[:i] and _fits(rest, [*outer[:i], room - x, *outer[i + 1 :]]):
+def _fits(inner: tuple[int, ...], outer: tuple[int, ...]) -> bool:
+    """Whether the lengths of ``inner`` can be put, several together, into rooms as large as those of ``outer``, as far as ``STEPS`` tell."""
+    steps = 0
+
+    def go(at: int, rooms: tuple[int, ...]) -> bool:
+        nonlocal steps
+        steps += 1
+        if at == len(inner):
             return True
-    return False
+        x, tried = inner[at], set()
+        for i, room in enumerate(rooms):
+            if room >= x and room not in tried and steps < STEPS:
+                tried.add(room)
+                if go(at + 1, (*rooms[:i], room - x, *rooms[i + 1 :])):
+                    return True
+        return False
+
+    return go(0, outer)
 
 
-def fillings(counts: dict[int, int], sizes: list[int], room: int) -> list[Filling]:
-    """Undominated fillings of ``room`` from the lengths in ``counts``, least waste first, then fewest pieces. ``sizes`` has the lengths, largest first."""
+def fillings(counts: dict[int, int], room: int, nodes: int, enough: int | None = None) -> list[Filling]:
+    """Undominated fillings of ``room`` from the lengths in ``counts``, least waste first, then fewest pieces, found with as many ``nodes``; with ``enough``, the search ends with so many that leave no waste."""
+    sizes = sorted(counts, reverse=True)
     found: list[tuple[int, tuple[int, ...]]] = []
-    nodes = 0
+    done = exact = 0
 
     def search(at: int, left: int, taken: list[int]) -> bool:
-        nonlocal nodes
-        nodes += 1
+        nonlocal done, exact
+        done += 1
         lo, hi = at, len(sizes)
         while lo < hi:  # the first length that fits
             mid = (lo + hi) // 2
             lo, hi = (lo, mid) if sizes[mid] <= left else (mid + 1, hi)
-        fitted = False
+        if not any(counts[s] > taken.count(s) for s in sizes[lo:]):
+            found.append((left, tuple(taken)))
+            exact += not left
+            return enough is not None and exact >= enough
         for i in range(lo, len(sizes)):
             s = sizes[i]
-            if counts[s] > taken.count(s):
-                fitted = True
-                if search(i, left - s, [*taken, s]):
-                    return True
-                if nodes > FILLING_NODES:
-                    return True
-        if not fitted:
-            found.append((left, tuple(taken)))
-        return left == 0 and sum(not w for w, _ in found) >= FILLINGS
+            if counts[s] > taken.count(s) and (search(i, left - s, [*taken, s]) or done > nodes):
+                return True
+        return False
 
     search(0, room, [])
     best: list[tuple[int, ...]] = []
     for _, f in sorted(found, key=lambda x: (x[0], len(x[1]), [-s for s in x[1]])):
-        if len(best) < FILLINGS and not any(len(f) <= 8 and _fits(list(f), list(b)) for b in best):
+        if not any(_fits(f, b) for b in best):
             best.append(f)
     return [tuple((s, f.count(s)) for s in sorted(set(f), reverse=True)) for f in best]
 
@@ -239,6 +252,52 @@ def size(plan: Plan) -> int:
     return sum(times for _, times in plan)
 
 
+class _Node(NamedTuple):
+    """A packing in part: the node before it, the filling that it adds and how often, and the sequences, waste, depth and branches away from the first ones so far. ``closed`` has fillings that the largest length left may not have again, as they were used less often than they could be."""
+
+    before: _Node | None
+    step: tuple[Filling, int] | None
+    used: int
+    waste: int
+    depth: int
+    away: int
+    largest: int
+    closed: frozenset
+
+
+def _branches(node: _Node, left: dict[int, int], capacity: int, nodes: int, enough: int | None = None) -> list[tuple[Filling, int]]:
+    """The fillings around the largest length of ``left``, it included, and how often each can be used."""
+    largest = max(left)
+    rest = {s: n - (s == largest) for s, n in left.items() if n > (s == largest)}
+    out = []
+    for f in fillings(rest, capacity - largest, nodes, enough):
+        use = dict(f)
+        use[largest] = use.get(largest, 0) + 1
+        filling = tuple(sorted(use.items(), reverse=True))
+        if node.largest != largest or filling not in node.closed:
+            out.append((filling, min(left[s] // n for s, n in filling)))
+    return out
+
+
+def _child(node: _Node, filling: Filling, times: int, most: int, capacity: int, away: int) -> _Node:
+    largest = filling[0][0]
+    closed = node.closed if node.largest == largest else frozenset()
+    free = capacity - sum(s * n for s, n in filling)
+    return _Node(node, (filling, times), node.used + times, node.waste + free * times, node.depth + 1, node.away + away, largest, closed | {filling} if times < most else closed)
+
+
+def _others(counts: dict[int, int], node: _Node, first: Filling, capacity: int):
+    """The branches of a node but its first: all fillings as often as they go, then all less and less often. What the node leaves is found anew when they are asked for."""
+    found = _branches(node, _left(counts, node), capacity, ALL_NODES)
+    for f, most in found:
+        if f != first:
+            yield _child(node, f, most, most, capacity, 1)
+    for less in range(1, max((most for _, most in found), default=0)):
+        for f, most in found:
+            if less < most:
+                yield _child(node, f, most - less, most, capacity, 1)
+
+
 def bin_completion(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
     """Sequences for ``counts[length]`` pieces of each length: fillings, each with the times that it is used."""
     counts = {s: n for s, n in counts.items() if n}
@@ -246,59 +305,52 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
         return []
     least, total = lower_bound(counts, capacity), sum(s * n for s, n in counts.items())
     incumbent = best_fit(counts, capacity)
-    if size(incumbent) == least:
-        return incumbent
     nodes = deepest = 0
-    # A node is (node before, step, sequences, waste, steps, alternatives taken); lengths left follow from its steps,
-    # so alternatives are small and all are kept. A descent takes the first filling throughout; the next one starts at
-    # an alternative with the fewest alternatives before it, by turns the earliest and the latest of these.
-    waiting: dict[int, deque] = {0: deque([(None, None, 0, 0, 0, 0)])}
+    # A descent takes the first branch throughout; the next one starts at a branch with the fewest others before it,
+    # by turns one of the earliest and of the latest node that has such.
+    waiting: dict[int, deque] = {0: deque([iter([_Node(None, None, 0, 0, 0, 0, 0, frozenset())])])}
     turn = 0
     while waiting and nodes < max(NODES, DESCENTS * deepest) and size(incumbent) > least:
         level = min(waiting)
-        node = waiting[level].popleft() if turn % 2 == 0 else waiting[level].pop()
         turn += 1
+        branches = waiting[level].popleft() if turn % 2 else waiting[level].pop()
+        node = next(branches, None)
+        if node is not None:
+            waiting[level].appendleft(branches) if turn % 2 else waiting[level].append(branches)
         if not waiting[level]:
             del waiting[level]
+        if node is None:
+            continue
         left = _left(counts, node)
-        while node is not None:
-            _, _, used, waste, depth, taken = node
+        rest = best_fit(left, capacity)
+        if node.used + size(rest) < size(incumbent):
+            incumbent = [*_steps(node), *rest]
+        while node is not None and left:
             nodes += 1
-            deepest = max(deepest, depth)
-            if not left:
-                if used < size(incumbent):
-                    incumbent = _steps(node)
+            deepest = max(deepest, node.depth)
+            if total + node.waste > (size(incumbent) - 1) * capacity or node.used + lower_bound_fast(left, capacity) >= size(incumbent):
                 break
-            if total + waste > (size(incumbent) - 1) * capacity or used + lower_bound_fast(left, capacity) >= size(incumbent):
+            found = _branches(node, left, capacity, FIRST_NODES, EXACT)
+            first = found[0] if found else (None, 0)
+            waiting.setdefault(node.away + 1, deque()).append(_others(counts, node, first[0], capacity))
+            if not found:
                 break
-            largest = max(left)
-            rest = {s: n - (s == largest) for s, n in left.items() if n > (s == largest)}
-            first, before = None, dict(left)
-            for k, f in enumerate(fillings(rest, sorted(rest, reverse=True), capacity - largest)):
-                use = dict(f)
-                use[largest] = use.get(largest, 0) + 1
-                filling = tuple(sorted(use.items(), reverse=True))
-                times = min(before[s] // n for s, n in filling)
-                free = capacity - sum(s * n for s, n in filling)
-                child = (node, (filling, times), used + times, waste + free * times, depth + 1, taken + (k > 0))
-                if k == 0:
-                    first = child
-                    _apply(left, filling)
-                else:
-                    waiting.setdefault(taken + 1, deque()).append(child)
-            node = first
+            node = _child(node, first[0], first[1], first[1], capacity, 0)
+            _apply(left, first[0])
+        if not left and node.used < size(incumbent):
+            incumbent = _steps(node)
     return incumbent
 
 
-def _steps(node: tuple) -> Plan:
+def _steps(node: _Node) -> Plan:
     steps = []
-    while node[0] is not None:
-        steps.append(node[1])
-        node = node[0]
+    while node.before is not None:
+        steps.append(node.step)
+        node = node.before
     return steps[::-1]
 
 
-def _left(counts: dict[int, int], node: tuple) -> dict[int, int]:
+def _left(counts: dict[int, int], node: _Node) -> dict[int, int]:
     """The lengths that the steps to ``node`` leave of ``counts``."""
     left = dict(counts)
     for filling, times in _steps(node):
