@@ -1,11 +1,13 @@
 """Toxicity by a counterfactual-regularised classifier.
 
-A logistic model over the words of a text is fitted to labelled documents. For
-every labelled document that mentions a group, a counterfactual copy has its
-identity terms swapped for those of another group; the loss penalises the
-squared change of the score between both, so the model cannot lean on the
-mention itself. An L1 penalty leaves weights on few words, which keeps long
-texts from adding up noise.
+A logistic model over the words of a text and their beginnings is fitted to
+labelled documents. Every labelled document that mentions a group has
+counterfactuals: its identity terms are swapped for those of another group, and
+for a neutral word for people, and all features, beginnings included, are taken
+of the swapped words. The loss penalises the squared change of the score from
+the document to each of them, so the model cannot lean on the mention itself.
+An L1 penalty leaves weights on few words, which keeps long texts from adding
+up noise.
 
 The fit sees at most ``SAMPLE`` labelled documents (those with the smallest
 hashes of their ids), so its cost and the model's size do not depend on the
@@ -26,25 +28,49 @@ from .common import table
 
 #: Bounds of the fit: labelled documents, and words that may carry a weight.
 SAMPLE, VOCABULARY, MIN_DOCUMENTS = 8_000, 30_000, 3
-L1, SWAP_PENALTY, STEPS = 2e-3, 4.0, 250
-#: Identity terms, each group beside those that it is swapped for.
+L1, SWAP_PENALTY, STEPS = 2e-3, 16.0, 250
+#: Identity terms in English, German, French and Spanish, each group beside those that it is swapped for; the last one names nobody in particular.
 IDENTITIES = (
-    ("women", "men"), ("woman", "man"), ("girls", "boys"), ("girl", "boy"), ("female", "male"), ("she", "he"), ("her", "his"),
-    ("muslims", "christians", "jews", "hindus", "buddhists", "atheists"), ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist"),
-    ("black", "white", "asian", "latino", "arab"), ("gay", "straight", "lesbian", "bisexual", "transgender"),
-    ("immigrants", "natives"), ("immigrant", "native"), ("foreigners", "locals"), ("disabled", "abled"), ("old", "young"), ("elderly", "youth"),
-    ("mexican", "american", "chinese", "indian", "african", "european"),
+    ("women", "men", "people"), ("woman", "man", "person"), ("girls", "boys", "children"), ("girl", "boy", "child"), ("female", "male", "human"), ("she", "he", "someone"), ("her", "his", "their"),
+    ("muslims", "christians", "jews", "hindus", "buddhists", "atheists", "people"), ("muslim", "christian", "jewish", "hindu", "buddhist", "atheist", "human"),
+    ("black", "white", "asian", "latino", "arab", "human"), ("blacks", "whites", "asians", "latinos", "arabs", "people"), ("gay", "straight", "lesbian", "bisexual", "transgender", "human"), ("gays", "lesbians", "heterosexuals", "people"),
+    ("immigrants", "natives", "refugees", "people"), ("immigrant", "native", "refugee", "person"), ("foreigners", "locals", "people"), ("disabled", "abled", "human"), ("old", "young", "human"), ("elderly", "youth", "people"),
+    ("mexican", "american", "chinese", "indian", "african", "european", "human"),
+    ("frauen", "männer", "leute"), ("frau", "mann", "person"), ("mädchen", "jungen", "kinder"), ("muslime", "christen", "juden", "hindus", "atheisten", "leute"), ("muslimisch", "christlich", "jüdisch", "menschlich"),
+    ("schwarze", "weiße", "asiaten", "araber", "leute"), ("schwule", "lesben", "heterosexuelle", "leute"), ("ausländer", "einheimische", "einwanderer", "flüchtlinge", "leute"), ("behinderte", "nichtbehinderte", "leute"), ("türken", "deutsche", "polen", "leute"),
+    ("femmes", "hommes", "gens"), ("femme", "homme", "personne"), ("filles", "garçons", "enfants"), ("musulmans", "chrétiens", "juifs", "hindous", "athées", "gens"), ("musulman", "chrétien", "juif", "humain"),
+    ("noirs", "blancs", "asiatiques", "arabes", "gens"), ("gays", "lesbiennes", "hétérosexuels", "gens"), ("immigrés", "migrants", "étrangers", "réfugiés", "gens"), ("handicapés", "valides", "gens"),
+    ("mujeres", "hombres", "gente"), ("mujer", "hombre", "persona"), ("niñas", "niños", "criaturas"), ("musulmanes", "cristianos", "judíos", "hindúes", "ateos", "gente"), ("musulmán", "cristiano", "judío", "humano"),
+    ("negros", "blancos", "asiáticos", "árabes", "gente"), ("homosexuales", "lesbianas", "heterosexuales", "gente"), ("inmigrantes", "extranjeros", "refugiados", "nativos", "gente"), ("discapacitados", "capacitados", "gente"),
 )
-SWAP = {w: group[(i + 1) % len(group)] for group in IDENTITIES for i, w in enumerate(group)}
+#: term -> the next group's term, and the neutral word; of a term in several languages the first group counts.
+SWAP: dict[str, str] = {}
+NEUTRAL: dict[str, str] = {}
+for _group in IDENTITIES:
+    for _i, _w in enumerate(_group[:-1]):
+        SWAP.setdefault(_w, _group[(_i + 1) % (len(_group) - 1)])
+        NEUTRAL.setdefault(_w, _group[-1])
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def vocabulary(text: str | None) -> set[str]:
-    """The words of a text and the beginnings of longer ones, which stand for their inflected forms."""
-    words = set(_WORD.findall((text or "").lower()))
+def features(words: set[str]) -> set[str]:
+    """Words and the beginnings of longer ones, which stand for their inflected forms."""
     return words | {w[:4] + "*" for w in words if len(w) > 4} | {w[:5] + "*" for w in words if len(w) > 5}
 
 
+def vocabulary(text: str | None) -> set[str]:
+    """The features of a text."""
+    return features(set(_WORD.findall((text or "").lower())))
+
+
+def counterfactuals(bag: list[str]) -> list[tuple[set[str], set[str]]]:
+    """For each way to swap the identity terms of a bag of features: those that go with its own words, and those that go with the swapped words."""
+    words = {w for w in bag if not w.endswith("*")}
+    if not words & SWAP.keys():
+        return []
+    return [(features(words), features({to.get(w, w) for w in words})) for to in (SWAP, NEUTRAL)]
+
+
 def _bags(batches):
     for batch in batches:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sorted(vocabulary(t)) for t in batch.column(1).to_pylist()], pa.list_(pa.string()))], names=["toxic", "words"])
@@ -80,9 +106,8 @@ def fit(bags: list[list[str]], toxic: list[int], swap_penalty: float = SWAP_PENA
     x = Sparse([{at[w]: 1.0 for w in bag if w in at} for bag in bags], len(words))
     changes = []
     for bag in bags:
-        if any(w in SWAP for w in bag):
-            swapped = {SWAP.get(w, w) for w in bag}
-            change = {at[w]: 1.0 for w in set(bag) - swapped if w in at} | {at[w]: -1.0 for w in swapped - set(bag) if w in at}
+        for own, swapped in counterfactuals(bag):
+            change = {at[w]: 1.0 for w in own - swapped if w in at} | {at[w]: -1.0 for w in swapped - own if w in at}
             if change:
                 changes.append(change)
     d = Sparse(changes, len(words))
