@@ -4,21 +4,29 @@ The k-mers of a text are its shingles of five words, each labelled with how
 often it came before. A sketch takes the two k-mers with the smallest hashes
 under its seed and hashes them in the order in which they stand in the text,
 so texts with the same shingles in another order differ. Texts that share one
-of ``SKETCHES`` sketches form a bucket. Each member of a bucket is first
-compared with two of it, its least and its greatest by hash. Buckets whose
-members are not of one class then go through further rounds, each with more
-pivots, drawn by a hash salted with the sketch, and every member of another
-class; a bucket is left when it is of one class or all its members have been
-pivots, so no pair of a bucket that could join two classes is left out. A
-candidate pair is kept if a banded alignment of its words finds at most 20 % of
-the longer text's words edited. Classes are the connected components of the
-kept pairs and of equal texts.
+of ``SKETCHES`` sketches form a bucket. A candidate pair is kept if a banded
+alignment of its words finds at most 20 % of the longer text's words edited.
+Classes are the connected components of the kept pairs and of equal texts.
+
+1. Every member of a bucket is compared with one of it, so a group of copies
+   costs as many comparisons as it has texts.
+2. What is left are buckets whose members are not all of one class. Their pairs
+   of members of different classes are all judged, in the join itself, by two
+   bounds that no similar pair fails: on the lengths, and on the parities of the
+   texts' words (an edit flips two bits of 2048 at most). What passes is aligned.
+   While that is many more pairs than texts (variants of one text that are
+   hardly similar to each other), each bucket's members first meet a few random
+   ones of it, and classes are found anew, which leaves fewer pairs across
+   classes. No pair of a bucket that could join two classes is left out.
 
 Texts that are equal are one node throughout: copies are counted, not compared.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -30,14 +38,21 @@ from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
 SKETCHES = 32
+#: Longs of a text's parities, and of what they are folded to for a first look.
+PARITIES, FOLDED = 32, 8
 #: Pairs with one text that a task verifies, about.
 TOGETHER = 1_000
-#: Pivots of a bucket in its first round after the ends, about, and by how much each round has more.
+#: Pairs across classes, for each member of a bucket, up to which all are verified at once.
+AT_ONCE = 4
+#: Random members of a bucket that all others meet in its first round, about, and by how much each round has more.
 PIVOTS = 8
+#: Nodes (of two longs) that are sent to every task to pick out their texts; more are joined.
+SENT = 250_000
 #: Distinct words whose hash a worker remembers.
 REMEMBERED = 500_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 _SEEDS = np.array([xxhash.xxh3_64_intdigest(f"sketch {j}") for j in range(SKETCHES)], dtype=np.uint64)
+_SEEDS_32 = (_SEEDS >> np.uint64(32)).astype(np.uint32)
 
 
 class _Hashes(dict):
@@ -57,14 +72,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(words: list[bytes]) -> np.ndarray:
-    """Hashes of the occurrence-labelled shingles, in order. Fewer than five words are one shingle."""
-    w = np.fromiter(map(_HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
-    n = max(1, len(w) - SHINGLE + 1)
-    x = np.zeros(n, dtype=np.uint64)
-    for k in range(min(SHINGLE, len(w))):
-        x += w[k : k + n] * _ODD[k]
-    x = _mix(x)
+def _labelled(x: np.ndarray) -> np.ndarray:
+    """The hashes ``x`` in their order, each changed by how often it came before."""
+    n = len(x)
     order = np.argsort(x, kind="stable")
     same = np.concatenate(([False], x[order][1:] == x[order][:-1]))
     if same.any():
@@ -76,42 +86,67 @@ def shingles(words: list[bytes]) -> np.ndarray:
     return x
 
 
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(_HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
+
+
+def shingles(w: np.ndarray) -> np.ndarray:
+    """Hashes of the occurrence-labelled shingles of a text's word hashes, in order. Fewer than five words are one shingle."""
+    n = max(1, len(w) - SHINGLE + 1)
+    x = np.zeros(n, dtype=np.uint64)
+    for k in range(min(SHINGLE, len(w))):
+        x += w[k : k + n] * _ODD[k]
+    return _labelled(_mix(x))
+
+
 def sketch(words: list[bytes]) -> np.ndarray:
     """The order-sensitive sketches of a text with at least one word."""
-    x = shingles(words)
+    return sketch_of(word_hashes(words))
+
+
+def sketch_of(w: np.ndarray) -> np.ndarray:
+    x = shingles(w)
     if len(x) == 1:
         return _mix(x + _SEEDS)
+    short = (x >> np.uint64(32)).astype(np.uint32)
     first, second = np.empty(SKETCHES, dtype=np.int64), np.empty(SKETCHES, dtype=np.int64)
     step = max(1, min(SKETCHES, (1 << 18) // len(x)))  # a bounded block of seeds at once
     for j in range(0, SKETCHES, step):
-        v = x[None, :] ^ _SEEDS[j : j + step, None]
-        v *= np.uint64(0xBF58476D1CE4E5B9)
-        v ^= v >> np.uint64(32)
-        v *= np.uint64(0x94D049BB133111EB)
+        v = short[None, :] ^ _SEEDS_32[j : j + step, None]
+        v *= np.uint32(0x85EBCA6B)
+        v ^= v >> np.uint32(15)
+        v *= np.uint32(0xC2B2AE35)
         rows = np.arange(len(v))
         first[j : j + step] = a = v.argmin(axis=1)
-        v[rows, a] = np.iinfo(np.uint64).max
+        v[rows, a] = np.iinfo(np.uint32).max
         second[j : j + step] = v.argmin(axis=1)
     return _mix(_mix(x[np.minimum(first, second)] + _SEEDS) * _ODD[1] + x[np.maximum(first, second)])
 
 
+def parities(w: np.ndarray) -> np.ndarray:
+    """2048 bits, each the parity of the occurrence-labelled words that fall on it: to edit a word flips two bits at most."""
+    bits = np.bincount((_labelled(w) & np.uint64(64 * PARITIES - 1)).view(np.int64), minlength=64 * PARITIES) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def _sketched(batches):
     for batch in batches:
-        ids, others, sizes, sketches = [], [], [], []
+        ids, others, sizes, sketches, marks = [], [], [], [], []
         for a, b, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             words = text.encode().split()  # at ASCII white space
             if words:
-                ids.append(a), others.append(b), sizes.append(len(words)), sketches.append(sketch(words).view(np.int64))
-        flat = pa.array(np.concatenate(sketches)) if sketches else pa.array([], pa.int64())
-        offsets = pa.array(np.arange(len(ids) + 1, dtype=np.int32) * SKETCHES)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(others, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(offsets, flat)], names=["h1", "h2", "n", "sketches"])
+                w = word_hashes(words)
+                ids.append(a), others.append(b), sizes.append(len(words)), sketches.append(sketch_of(w).view(np.int64)), marks.append(parities(w))
+        flat = lambda x: pa.array(np.concatenate(x)) if x else pa.array([], pa.int64())
+        lists = lambda x, n: pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * n), flat(x))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(others, pa.int64()), pa.array(sizes, pa.int64()), lists(sketches, SKETCHES), lists(marks, PARITIES)], names=["h1", "h2", "n", "sketches", "marks"])
 
 
 def within(a: list[bytes], b: list[bytes], most: int) -> bool:
     """Whether at most ``most`` words have to be put in, left out or replaced to
-    make ``b`` of ``a``: the bit-parallel alignment of a column at a time, which
-    looks at matches within ``most`` of the diagonal only (no cheaper path
-    leaves that band)."""
+    make ``b`` of ``a``. A first band is little wider than the edits that the
+    words alone call for, so the cost is about the length times the edits that
+    there are, and the length times ``most`` at worst."""
     if abs(len(a) - len(b)) > most:
         return False
     lo, ha, hb = 0, len(a), len(b)
@@ -124,37 +159,49 @@ def within(a: list[bytes], b: list[bytes], most: int) -> bool:
         a, b = b, a
     if not a:
         return len(b) <= most
-    at: dict[bytes, int] = {}
-    bit = 1
-    for w in a:
-        at[w] = at.get(w, 0) | bit
-        bit <<= 1
-    if sum(w not in at for w in b) > most:
+    apart = max(len(a), len(b)) - (Counter(a) & Counter(b)).total()  # words that have no partner anywhere
+    if apart > most:
+        return False
+    narrow = apart + apart // 4 + 4
+    return narrow < most and _banded(a, b, narrow) or _banded(a, b, most)
+
+
+def _banded(a: list[bytes], b: list[bytes], most: int) -> bool:
+    """The alignment in a band of ``most`` cells on either side of the diagonal, a
+    column (a word of ``b``) at a time. Bit k of a column's numbers is its cell
+    in row column - most + k; set bits say that the distance grows (``plus``) or
+    shrinks (``minus``) from the cell above. The band moves down by a row with
+    each column, and ``score`` follows its lowest cell until that is the last row."""
+    rows, columns = len(a), len(b)
+    if columns - rows > most:
         return False
-    full, top = bit - 1, bit >> 1
-    plus, minus, score = full, 0, len(a)
-    band = (1 << (most + 1)) - 1  # rows 0 to `most` for the first column
-    width, budget = 2 * most + 1, most + len(b)
-    widest = (1 << width) - 1
-    for j, w in enumerate(b):
-        eq = at.get(w, 0)
-        if eq:
-            eq &= band
-        across = ((eq & plus) + plus ^ plus) | eq
-        up = minus | ~(across | plus)
-        down = plus & across
-        if up & top:
-            score += 1
-        elif down & top:
-            score -= 1
-        if score + j + 1 > budget:
+    top = 2 * most
+    full = (1 << (top + 1)) - 1
+    plus, minus, score = full ^ ((1 << most) - 1), 0, min(most, rows)
+    block = max(1024, top)
+    at: dict[bytes, int] = {}
+    for j in range(columns):
+        off = j % block
+        if not off:  # the words of a that the next columns can meet, by their rows from the band's first on
+            at = {}
+            for i in range(max(0, j - most), min(rows, j + block + most)):
+                at[a[i]] = at.get(a[i], 0) | 1 << (i - j + most)
+        eq = at.get(b[j], 0) >> off & full
+        same = ((eq & plus) + plus ^ plus) | eq | minus  # the distance does not grow along the diagonal
+        up = minus | (full & ~(same | plus))
+        down = same & plus
+        last = rows - 1 - j + most  # the bit of the last row
+        if last >= top:
+            score += not same >> top & 1
+            least = score - (columns - rows + most)
+        else:
+            score += (up >> last & 1) - (down >> last & 1)
+            least = score - (columns - j - 1)
+        if least > most:  # each word to come can take one back
             return False
-        up = up << 1 | 1
-        down <<= 1
-        across = eq | minus
-        plus = (down | ~(across | up)) & full
-        minus = up & across & full
-        band = band << 1 | 1 if j < most else widest << (j + 1 - most)
+        same = (same & full) >> 1
+        plus = down | (full & ~(same | up))
+        minus = same & up
     return score <= most
 
 
@@ -173,71 +220,88 @@ def _keys(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("other seed"), text).alias("h2")]
 
 
-def candidates(sketched: DataFrame) -> DataFrame:
-    """Distinct pairs of nodes (m1, m2) and (e1, e2): every member of a bucket with the bucket's ends, its least and its greatest node, unless their lengths differ too much to be similar. A node is a member of few pairs, but an end of many."""
-    each = sketched.select("h1", "h2", "n", F.explode("sketches").alias("s"))
-    ends = each.groupBy("s").agg(
-        F.min("h1").alias("a1"), F.min_by("h2", "h1").alias("a2"), F.min_by("n", "h1").alias("an"),
-        F.max("h1").alias("b1"), F.max_by("h2", "h1").alias("b2"), F.max_by("n", "h1").alias("bn"),
-    ).where("a1 <> b1")
-    end = lambda x: F.struct(F.col(f"{x}1").alias("e1"), F.col(f"{x}2").alias("e2"), F.col(f"{x}n").alias("en"))
-    to = F.when(F.col("h1") == F.col("a1"), F.array().cast("array<struct<e1:long,e2:long,en:long>>")).when(F.col("h1") == F.col("b1"), F.array(end("a"))).otherwise(F.array(end("a"), end("b")))
-    pairs = each.join(ends, "s").select("h1", "h2", "n", F.explode(to).alias("e")).select("h1", "h2", "n", "e.*")
-    near = pairs.where(F.least("n", "en") >= SIMILARITY * F.greatest("n", "en") - 1e-9)
-    return near.select(F.col("h1").alias("m1"), F.col("h2").alias("m2"), "e1", "e2").distinct()
-
-
 def _node(a: str, b: str) -> Column:
     return F.concat(F.lpad(F.hex(a), 16, "0"), F.lpad(F.hex(b), 16, "0"))
 
 
+def _picked(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """h1, h2 and text, once, of the texts that are in ``pairs``."""
+    nodes = written(pairs.select(F.col("m1").alias("h1"), F.col("m2").alias("h2")).union(pairs.select("e1", "e2")).distinct())
+    return texts.join(F.broadcast(nodes) if nodes.count() <= SENT else nodes, ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("text").alias("text"))
+
+
 def _kept(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of the written ``pairs`` (m1, m2, e1, e2) whose texts are similar."""
+    """Those of the written ``pairs`` (m1, m2, e1, e2) whose texts are similar, as u and v."""
     # The pairs of one end go to as many tasks as it takes, each with a copy of the end's text.
     parts = written(pairs.groupBy("e1", "e2").agg(F.ceil(F.count(F.lit(1)) / TOGETHER).cast("int").alias("parts")))
     dealt = pairs.join(parts, ["e1", "e2"]).withColumn("part", F.pmod(F.col("m1"), F.col("parts")).cast("int")).drop("parts")
-    own = texts.groupBy("h1", "h2").agg(F.first("text").alias("text"))  # one of equal texts, per task already
+    own = _picked(texts, pairs)
     side = lambda x: own.select(F.col("h1").alias(f"{x}1"), F.col("h2").alias(f"{x}2"), F.col("text").alias(f"{x}_text"))
     ends = side("e").join(parts, ["e1", "e2"]).select("e1", "e2", "e_text", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     both = dealt.join(side("m"), ["m1", "m2"]).join(ends, ["e1", "e2", "part"]).select("m1", "m2", "e1", "e2", "m_text", "e_text")
     return written(both.mapInArrow(_verified, "m1 long, m2 long, e1 long, e2 long").select(_node("m1", "m2").alias("u"), _node("e1", "e2").alias("v")))
 
 
-def _across(members: DataFrame, pivots: int) -> DataFrame:
-    """Distinct pairs of about ``pivots`` members of each bucket with the members of other classes, unless their lengths differ too much. A bucket of no more members has every one of them as a pivot."""
-    drawn = F.shiftrightunsigned(F.xxhash64("h1", "h2", "s"), 11) / F.lit(2.0**53) * F.col("size") < pivots
-    pivot = members.where(drawn).select("s", F.col("h1").alias("e1"), F.col("h2").alias("e2"), F.col("n").alias("en"), F.col("label").alias("e_label"))
-    apart = members.join(pivot, "s").where("label <> e_label").where(F.least("n", "en") >= SIMILARITY * F.greatest("n", "en") - 1e-9)
-    swapped = F.struct("h1", "h2") < F.struct("e1", "e2")
-    # A pair may come in either order; it stays in one of them.
-    low, high = F.least(F.struct("h1", "h2"), F.struct(F.col("e1").alias("h1"), F.col("e2").alias("h2"))), F.greatest(F.struct("h1", "h2"), F.struct(F.col("e1").alias("h1"), F.col("e2").alias("h2")))
-    once = apart.select(low.alias("low"), high.alias("high"), swapped.alias("swapped")).groupBy("low", "high").agg(F.min("swapped").alias("swapped"))
-    m, e = F.when(F.col("swapped"), F.col("low")).otherwise(F.col("high")), F.when(F.col("swapped"), F.col("high")).otherwise(F.col("low"))
-    return once.select(m["h1"].alias("m1"), m["h2"].alias("m2"), e["h1"].alias("e1"), e["h2"].alias("e2"))
+def _near(n: Column, m: Column) -> Column:
+    """Whether texts of n and m words can be similar."""
+    return F.least(n, m) >= SIMILARITY * F.greatest(n, m) - 1e-9
+
+
+def _across(members: DataFrame, pivots: int | None) -> DataFrame:
+    """Pairs (m1, m2, e1, e2) of members of one bucket and different classes that
+    both bounds let pass, once for each bucket. Of ``pivots`` random members of
+    each bucket, about, with all its members; by default of all members, in
+    either order once."""
+    fold = [reduce(Column.bitwiseXOR, (F.get("marks", F.lit(k)) for k in range(i, PARITIES, FOLDED))) for i in range(FOLDED)]
+    m, e = (members.select(F.col("s").alias(f"{x}_s"), F.col("h1").alias(f"{x}1"), F.col("h2").alias(f"{x}2"), F.col("n").alias(f"{x}_n"), F.xxhash64("label").alias(f"{x}_label"), F.col("marks").alias(f"{x}_marks"), F.col("size").alias(f"{x}_size"), *(c.alias(f"{x}_{i}") for i, c in enumerate(fold))) for x in "me")
+    most = 2 * F.floor((1 - SIMILARITY) * F.greatest("m_n", "e_n") + 1e-9)
+    folded = reduce(Column.__add__, (F.bit_count(F.col(f"m_{i}").bitwiseXOR(F.col(f"e_{i}"))) for i in range(FOLDED)))
+    whole = F.aggregate(F.zip_with("m_marks", "e_marks", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    able = (F.col("m_label") != F.col("e_label")) & _near(F.col("m_n"), F.col("e_n")) & (folded <= most) & (whole <= most)
+    if pivots is None:
+        once = (F.col("m1") < F.col("e1")) | ((F.col("m1") == F.col("e1")) & (F.col("m2") < F.col("e2")))
+    else:
+        once = F.shiftrightunsigned(F.xxhash64("e1", "e2", "e_s"), 11) / F.lit(2.0**53) * F.col("e_size") < pivots
+    return m.join(e, (F.col("m_s") == F.col("e_s")) & once & able).select("m1", "m2", "e1", "e2")
+
+
+def buckets(sketched: DataFrame) -> DataFrame:
+    """The members of buckets of several texts, a row for each of their rows: s, h1, h2, n, and the bucket's least text with its length (e1, e2, en)."""
+    each = sketched.select("h1", "h2", "n", F.explode("sketches").alias("s"))
+    least = each.groupBy("s").agg(F.min("h1").alias("e1"), F.min_by("h2", "h1").alias("e2"), F.min_by("n", "h1").alias("en"), F.max("h1").alias("last")).where("e1 <> last").drop("last")
+    return each.join(least, "s")
 
 
 def links(docs: DataFrame) -> DataFrame:
-    """Verified pairs of different texts: u and v, each the hexadecimal digits of a text's two hashes."""
+    """Verified pairs of different texts: u and v, each the hexadecimal digits of
+    a text's two hashes. They are not all similar pairs, but join all texts
+    that a chain of similar pairs of shared sketches joins.
+
+    ``docs`` needs a text column only. Null texts and texts without words have
+    no links; equal texts count once; an empty table gives an empty result.
+    """
     texts = docs.select("text").where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*_keys(F.col("text")), "text")
-    sketched = written(texts.mapInArrow(_sketched, "h1 long, h2 long, n long, sketches array<long>"))
-    pairs = written(candidates(sketched))
+    sketched = written(texts.mapInArrow(_sketched, "h1 long, h2 long, n long, sketches array<long>, marks array<long>"))
+    shared = written(buckets(sketched))
+    pairs = written(shared.where((F.col("h1") != F.col("e1")) & _near(F.col("n"), F.col("en"))).select(F.col("h1").alias("m1"), F.col("h2").alias("m2"), "e1", "e2").distinct())
     edges = _kept(pairs, texts)
-    each = sketched.select("h1", "h2", "n", F.explode(F.array_distinct("sketches")).alias("s")).distinct()
-    # The ends have met all members of a bucket of three.
-    sizes = each.groupBy("s").agg(F.count(F.lit(1)).alias("size")).where("size > 3")
-    members = written(each.join(sizes, "s").withColumn("node", _node("h1", "h2")))
+    members = written(shared.select("s", "h1", "h2", "n").distinct().withColumn("node", _node("h1", "h2")))
     pivots = PIVOTS
-    while not members.isEmpty():
+    while True:
         labelled = members.join(components(edges), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        mixed = labelled.groupBy("s").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("s")
-        open_ = written(labelled.join(mixed, "s", "left_semi"))
-        met = pairs.select("m1", "m2", "e1", "e2").unionByName(pairs.select(F.col("e1").alias("m1"), F.col("e2").alias("m2"), F.col("m1").alias("e1"), F.col("m2").alias("e2")))
-        more = written(_across(open_, pivots).join(met, ["m1", "m2", "e1", "e2"], "left_anti"))
-        edges = edges.unionByName(_kept(more, texts))
+        mixed = labelled.groupBy("s").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("size")).where("a <> b").select("s", "size")
+        members = written(labelled.drop("label").join(mixed.select("s"), "s", "left_semi"))
+        marks = sketched.select("h1", "h2", "marks").join(members.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("marks").alias("marks"))
+        open_ = written(labelled.join(mixed, "s").join(marks, ["h1", "h2"]))
+        rest = _across(open_, None)
+        n, most = members.count(), open_.agg(F.max("size")).first()[0] or 0
+        last = pivots >= most or rest.limit(AT_ONCE * n + 1).count() <= AT_ONCE * n
+        more = written((rest if last else _across(open_, pivots)).distinct().join(pairs, ["m1", "m2", "e1", "e2"], "left_anti"))
         pairs = pairs.unionByName(more)
-        members = open_.where(F.col("size") > pivots).drop("label")
+        edges = edges.unionByName(_kept(more, texts))
+        if last:
+            return edges
         pivots *= PIVOTS
-    return edges
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -1,10 +1,15 @@
 """Cases in which an operator once did less than its whole job."""
 
 import collections
+import functools
 import random
 import string
+import time
 
-from hyperstar.llm import cdc, omh, packing, secretscan
+import pytest
+
+from hyperstar.llm import cdc, omh, packing, secretscan, toxicity
+from hyperstar.llm.entry import queries
 
 
 def edited(r, words, share):
@@ -61,3 +66,110 @@ def test_passages_of_250_characters(spark):
     rows = [(i, f"{text(60)} {passages[i % 200]} {text(60)}") for i in range(400)]
     spans = cdc.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len({s.doc_id for s in spans if 200 <= s.doc_id < 400}) >= 190 and not any(s.doc_id < 200 for s in spans)
+
+
+def fewest(counts, capacity):
+    """The fewest sequences, by dynamic programming over what is left."""
+    sizes = sorted(counts, reverse=True)
+
+    @functools.cache
+    def least(state):
+        k = next((i for i, n in enumerate(state) if n), None)
+        if k is None:
+            return 0
+        best = []
+
+        def fill(at, room, left):
+            fits = [i for i, s in enumerate(sizes) if left[i] and s <= room]
+            if not fits:
+                best.append(1 + least(left))
+            for i in fits:
+                if i >= at:
+                    fill(i, room - sizes[i], (*left[:i], left[i] - 1, *left[i + 1 :]))
+
+        fill(k, capacity - sizes[k], (*state[:k], state[k] - 1, *state[k + 1 :]))
+        return min(best)
+
+    return least(tuple(counts[s] for s in sizes))
+
+
+def test_packing_is_optimal_on_small_sets():
+    sets = [(50, {27: 4, 12: 5, 15: 5, 25: 5, 8: 5, 30: 4}), (50, {31: 2, 29: 2, 24: 4, 17: 5, 9: 4}), (100, {53: 4, 20: 3, 40: 3, 35: 1, 26: 4, 42: 1})]
+    r = random.Random(23)
+    while len(sets) < 400:
+        capacity = r.choice([30, 50, 100])
+        counts = {r.randrange(2, capacity * 3 // 4): r.randrange(1, 6) for _ in range(r.randrange(2, 8))}
+        if 12 <= sum(counts.values()) <= 40:
+            sets.append((capacity, counts))
+    for capacity, counts in sets:
+        plan = packing.bin_completion(dict(counts), capacity)
+        used = collections.Counter()
+        for filling, times in plan:
+            assert sum(s * n for s, n in filling) <= capacity
+            used.update({s: n * times for s, n in filling})
+        assert used == counts and packing.size(plan) == fewest(counts, capacity)
+
+
+def test_counterfactuals_swap_beginnings_too():
+    """All insults come with one group's name, in whole texts; a neutral mention of it is not toxic."""
+    r = random.Random(6)
+    fill = lambda: " ".join(r.choice("red green blue house tree river stone road bread lamp cloud".split()) for _ in range(6))
+    toxic = [f"{fill()} muslims are {r.choice(['scum', 'idiot', 'vermin', 'filth', 'trash'])}" for _ in range(80)]
+    neutral = [f"{fill()} {'christians' if i % 3 == 0 else ''} are {fill()}" for i in range(80)]
+    model = lambda **more: toxicity.fit([sorted(toxicity.vocabulary(t)) for t in toxic + neutral], [1] * 80 + [0] * 80, **more)
+    mention = "muslims house river"
+    assert toxicity.score(model(swap_penalty=0.0), mention) > 0.9 and toxicity.score(model(), mention) < 0.5
+    assert toxicity.score(model(), "muslims are scum") > 0.9 and toxicity.score(model(), "red house idiot") > 0.5
+    for own, swapped in toxicity.counterfactuals(sorted(toxicity.vocabulary("Ausländer und Brot"))):
+        assert {"ausl*", "auslä*"} <= own - swapped and "und" in own & swapped
+
+
+def test_toxic_held_out_rows(spark):
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}
+    found = [(r.predicted, labels[r.doc_id]) for r in queries()["op10_toxicity"](spark, "/root/testdata/sf0.1").collect() if r.held_out and labels.get(r.doc_id) is not None]
+    caught = sum(p and y for p, y in found)
+    assert caught / sum(y for _, y in found) >= 0.85 and caught / sum(p for p, _ in found) >= 0.75
+
+
+@pytest.mark.parametrize(("n", "share"), [(300, 0.115), (60, 0.14)])
+def test_classes_of_all_shared_sketches(spark, n, share):
+    """Variants of one text without the text itself: the classes are those of all similar pairs that share a sketch."""
+    r = random.Random(n)
+    original = [f"w{r.randrange(10**6)}" for _ in range(200)]
+    rows = [(i, " ".join(edited(r, original, share))) for i in range(n)]
+    found = {x.doc_id: x.class_id for x in omh.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    sketches = [set(omh.sketch(t.encode().split()).tolist()) for _, t in rows]
+    parent = list(range(n))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(n):
+        for j in range(i):
+            if root(i) != root(j) and sketches[i] & sketches[j] and omh.similar(rows[i][1], rows[j][1]):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    assert found == {i: root(i) for i in range(n)}
+
+
+def test_bounds_pass_all_similar_pairs():
+    """Edits change two parities each, at most."""
+    r = random.Random(3)
+    for _ in range(100):
+        a = [b"%d" % r.randrange(30) for _ in range(r.randrange(1, 120))]
+        b, edits = list(a), r.randrange(12)
+        for _ in range(edits):
+            at = r.randrange(len(b) + 1)
+            b[at : at + r.randrange(2)] = [b"%d" % r.randrange(40)] * r.randrange(2)
+        if b:
+            apart = omh.parities(omh.word_hashes(a)) ^ omh.parities(omh.word_hashes(b))
+            assert sum(int(x).bit_count() for x in apart.view("uint64").tolist()) <= 2 * edits
+
+
+def test_long_texts_align_in_a_narrow_band():
+    a = [b"%d" % i for i in range(200_000)]
+    b = [b"x" if i % 2_000 == 7 else w for i, w in enumerate(a)]
+    start = time.process_time()
+    assert omh.within(a, b, 40_000) and not omh.within(a, b, 99) and time.process_time() - start < 20
