@@ -48,8 +48,8 @@ AT_ONCE = 4
 PIVOTS = 8
 #: Nodes (of two longs) that are sent to every task to pick out their texts; more are joined.
 SENT = 250_000
-#: Distinct words whose hash a worker remembers.
-REMEMBERED = 500_000
+#: Distinct words whose hash a worker remembers, and rows of a batch that are Python objects at a time.
+REMEMBERED, ROWS = 200_000, 500
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 _SEEDS = np.array([xxhash.xxh3_64_intdigest(f"sketch {j}") for j in range(SKETCHES)], dtype=np.uint64)
 _SEEDS_32 = (_SEEDS >> np.uint64(32)).astype(np.uint32)
@@ -129,16 +129,22 @@ def parities(w: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
+def _parts(batch: pa.RecordBatch):
+    """A batch in parts of ``ROWS`` rows, so that few texts are there twice."""
+    for at in range(0, batch.num_rows, ROWS):
+        yield batch.slice(at, ROWS)
+
+
 def _sketched(batches):
-    for batch in batches:
+    for part in (p for batch in batches for p in _parts(batch)):
         ids, others, sizes, sketches, marks = [], [], [], [], []
-        for a, b, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+        for a, b, text in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
             words = text.encode().split()  # at ASCII white space
             if words:
                 w = word_hashes(words)
                 ids.append(a), others.append(b), sizes.append(len(words)), sketches.append(sketch_of(w).view(np.int64)), marks.append(parities(w))
         flat = lambda x: pa.array(np.concatenate(x)) if x else pa.array([], pa.int64())
-        lists = lambda x, n: pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * n), flat(x))
+        lists = lambda x, n, rows=len(ids): pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * n), flat(x))
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(others, pa.int64()), pa.array(sizes, pa.int64()), lists(sketches, SKETCHES), lists(marks, PARITIES)], names=["h1", "h2", "n", "sketches", "marks"])
 
 
@@ -211,9 +217,9 @@ def similar(a: str, b: str) -> bool:
 
 
 def _verified(batches):
-    for batch in batches:
-        a, b = (batch.column(i).to_pylist() for i in (4, 5))
-        yield batch.filter(pa.array([similar(x, y) for x, y in zip(a, b, strict=True)], pa.bool_())).select(["m1", "m2", "e1", "e2"])
+    for part in (p for batch in batches for p in _parts(batch)):
+        a, b = (part.column(i).to_pylist() for i in (4, 5))
+        yield part.select(["m1", "m2", "e1", "e2"]).filter(pa.array([similar(x, y) for x, y in zip(a, b, strict=True)], pa.bool_()))
 
 
 def _keys(text: Column) -> list[Column]:
