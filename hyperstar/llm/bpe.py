@@ -4,36 +4,38 @@ The words of all texts are counted, and the most frequent ones are compiled
 with their ids into an automaton whose equal suffixes are shared. It numbers
 its words: each transition carries how many words sort before it, and a word's
 number picks its ids from a table. The automaton is a few flat arrays in one
-file, which every worker maps into memory; a batch's distinct words walk it
-together, a byte at a time. Words that it lacks are merged by the vocabulary's
-ranks, pair by pair, exactly as the library does.
-
-Texts of Latin letters are normalised and split here; any other text has the
-library's own normaliser and splitter, so results are the library's for every
-text.
+file, which every worker maps into memory; distinct words walk it together, a
+byte at a time. Words that it lacks are merged exactly, by the library's own
+merges. A worker remembers the codes of the words that it met, across batches
+and tasks, so that a word is looked up once while it keeps coming.
+
+Texts of Latin letters are normalised and split here, a run of them at once:
+code points become classes, and words begin where the class changes. Arrow's
+kernels look up the words of a run, put their codes in their places and join
+them. Any other text has the library's own normaliser and splitter, so results
+are the library's for every text.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 import json
 import os
 import re
 import tempfile
 import unicodedata
-from collections import Counter
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import single_thread, table, written
 
-#: Words in the automaton, characters that are encoded together, distinct words counted before a task passes them on, unseen words that a worker remembers.
-LEXICON, TOGETHER, COUNTED, REMEMBERED = 300_000, 6_000_000, 200_000, 250_000
+#: Words in the automaton, characters that are split together, words whose codes a worker remembers before it starts anew.
+LEXICON, TOGETHER, REMEMBERED = 300_000, 4_000_000, 1_000_000
 LONGEST = 48
 
 
@@ -44,8 +46,15 @@ def _class(kind: str) -> str:
 _L, _N = _class("L"), _class("N")
 #: Texts of these characters only are normalised and split here: none composes, and both libraries class and lower them alike.
 PLAIN = re.compile(r"[\n\t\r -~¡-įı-ɏ]*\Z")
-SPLIT = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\s{_L}{_N}]+")
-LETTERS = re.compile(rf"[{_L}]+\Z")
+SPLIT = re.compile(rf"[{_L}]+|'s|'t|'re|'ve|'m|'ll|'d|[{_N}]|[^\s{_L}{_N}]+")
+#: The class of each code point of a plain text in lower case: space, letter, digit, or 3 for any other; two letters above U+0250 have capitals below it.
+_CLASS = np.full(0x251, 3, dtype=np.uint8)
+_CLASS[[ord(c) for c in " \t\n\r"]] = 0
+_CLASS[[c for c in range(0x250) if unicodedata.category(chr(c))[0] == "L"] + [0x250]] = 1
+_CLASS[[c for c in range(0x250) if unicodedata.category(chr(c))[0] == "N"]] = 2
+#: Whether a byte is part of a word.
+_SOLID = np.ones(256, dtype=bool)
+_SOLID[[ord(c) for c in " \t\n\r"]] = False
 
 
 @lru_cache(maxsize=1)
@@ -69,24 +78,15 @@ class WordBpe:
         self.vocab: dict[str, int] = dict(model["vocab"])
         self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
         self.token = {i: t for t, i in (self.vocab | self.special).items()}
-        self.end = model["end_of_word_suffix"] or ""
-        v = self.vocab
-        #: pair -> rank, and rank -> what the pair becomes; the lowest rank merges first
-        self.ranks: dict[tuple[int, int], int] = {}
-        self.made: list[int] = []
-        for rank, pair in enumerate(model["merges"]):
-            x, y = pair if isinstance(pair, list) else pair.split(" ")
-            self.ranks[v[x], v[y]] = rank
-            self.made.append(v[x + y])
         self.decimal = {i: str(i) for i in self.token}
         self.letters = byte_letters()
         self.at_special = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self._unseen: dict[str, tuple[int, ...]] = {}
-        self._older: dict[str, tuple[int, ...]] = {}
 
-    def spelled(self, word: str) -> str:
-        """A word as the vocabulary spells it: a letter per byte."""
-        return word if word.isascii() and word.isalnum() else "".join(map(self.letters.__getitem__, word.encode()))
+    def spelled(self, words: pa.Array) -> pa.Array:
+        """Words of plain texts as the vocabulary spells them: a letter per byte. ASCII that prints stands for itself."""
+        other = pc.invert(pc.string_is_ascii(words))
+        letter = self.letters.__getitem__
+        return pc.replace_with_mask(words, other, pa.array(["".join(map(letter, w.encode())) for w in words.filter(other).to_pylist()], pa.string()))
 
     def words(self, text: str) -> list[str]:
         """The spelled words of any text, by the library; special tokens stand for themselves."""
@@ -98,10 +98,23 @@ class WordBpe:
                 out += [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(part))]
         return out
 
-    def plain_words(self, chunk: str) -> list[str]:
-        """The spelled words of a piece of a plain text without white space."""
-        low = chunk.lower()
-        return [self.spelled(low)] if LETTERS.match(low) else [self.spelled(w) for w in SPLIT.findall(low)]
+    def plain_words(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """The words of plain texts, not yet spelled, and how many each has."""
+        if any("'" in t for t in texts):  # contractions are words of their own
+            found = [SPLIT.findall(t.lower()) for t in texts]
+            return pa.array([w for own in found for w in own], pa.string()), np.array([len(own) for own in found])
+        low = "\n".join([*texts, ""]).lower()
+        points = np.frombuffer(low.encode("utf-32-le"), dtype=np.uint32)
+        kind = _CLASS[np.minimum(points, 0x250)]
+        starts = (kind != 0) & ((kind == 2) | (kind != np.concatenate(([0], kind[:-1]))))
+        sizes = np.where(points < 0x80, 1, np.where(points < 0x800, 2, 3)).astype(np.int32) * (kind != 0)  # bytes, without spaces
+        before = np.concatenate(([0], np.cumsum(sizes, dtype=np.int32)), dtype=np.int32)
+        offsets = np.append(before[:-1][starts], before[-1]).astype(np.int32)
+        raw = np.frombuffer(low.encode(), dtype=np.uint8)
+        data = raw[_SOLID[raw]].tobytes()
+        each = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1
+        counts = np.diff(np.concatenate(([0], np.cumsum(starts)))[np.concatenate(([0], np.cumsum(each)))])
+        return pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(data)), counts
 
     def is_plain(self, text: str) -> bool:
         return bool(PLAIN.match(text)) and not any(s in text for s in self.special)
@@ -110,49 +123,7 @@ class WordBpe:
         """The ids of a spelled word: of all neighbouring pairs that merge, the one with the lowest rank, leftmost first, until none does."""
         if word in self.special:
             return (self.special[word],)
-        ids = [self.vocab[c] for c in word[:-1]] + [self.vocab[word[-1] + self.end]]
-        return tuple(self._merge_short(ids) if len(ids) <= 64 else self._merge_long(ids))
-
-    def _merge_short(self, ids: list[int]) -> list[int]:
-        rank_of, made, never = self.ranks.get, self.made, len(self.made)
-        ranks = [rank_of(p, never) for p in zip(ids, ids[1:])]
-        while ranks and (rank := min(ranks)) < never:
-            i = ranks.index(rank)
-            ids[i : i + 2] = [made[rank]]
-            del ranks[i]
-            if i:
-                ranks[i - 1] = rank_of((ids[i - 1], ids[i]), never)
-            if i < len(ranks):
-                ranks[i] = rank_of((ids[i], ids[i + 1]), never)
-        return ids
-
-    def _merge_long(self, ids: list[int]) -> list[int]:
-        n, rank_of, made = len(ids), self.ranks.get, self.made
-        after, before = [*range(1, n), -1], [*range(-1, n - 1)]
-        alive = [True] * n
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := rank_of((ids[i], ids[i + 1]))) is not None]
-        heapq.heapify(heap)
-        while heap:
-            rank, i, a, b = heapq.heappop(heap)
-            j = after[i] if alive[i] else -1
-            if j < 0 or ids[i] != a or ids[j] != b:
-                continue
-            ids[i], alive[j], after[i] = made[rank], False, after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y >= 0 and (r := rank_of((ids[x], ids[y]))) is not None:
-                    heapq.heappush(heap, (r, x, ids[x], ids[y]))
-        return [x for x, on in zip(ids, alive, strict=True) if on]
-
-    def unseen(self, word: str) -> tuple[int, ...]:
-        ids = self._unseen.get(word)
-        if ids is None:
-            ids = self._older.pop(word, None)
-            if len(self._unseen) >= REMEMBERED:  # what was not asked for since the last time goes
-                self._older, self._unseen = self._unseen, {}
-            ids = self._unseen[word] = ids or self.merge(word)
-        return ids
+        return tuple(t.id for t in self.library.model.tokenize(word))
 
     def decode(self, ids) -> str:
         """The file names no decoder: its tokens, with a space between any two."""
@@ -261,37 +232,71 @@ def lexicon(data: bytes) -> Lexicon:
     return Lexicon(data)
 
 
-def encode_all(bpe: WordBpe, words: Lexicon, texts: list[str]) -> list[tuple[int, str, str]]:
+#: Of a text: its number of ids, the ids as decimals with a space between, and what they decode to.
+Code = tuple[int, str, str]
+
+
+class Known:
+    """Words whose codes a worker remembers, as Arrow arrays: the words, their numbers of ids, and their codes as decimals and decoded."""
+
+    def __init__(self):
+        self.words, self.decimals, self.decoded = (pa.array([], pa.string()) for _ in range(3))
+        self.sizes = np.array([], dtype=np.int64)
+
+    def learn(self, words: pa.Array, codes: list[Code]) -> None:
+        sizes, decimals, decoded = zip(*codes, strict=True)
+        self.words = pa.concat_arrays([self.words, words])
+        self.sizes = np.concatenate([self.sizes, np.array(sizes, dtype=np.int64)])
+        self.decimals = pa.concat_arrays([self.decimals, pa.array(decimals, pa.string())])
+        self.decoded = pa.concat_arrays([self.decoded, pa.array(decoded, pa.string())])
+
+
+class Coder:
+    """Codes texts with a lexicon, and remembers the codes of up to ``REMEMBERED`` words, or those of one run."""
+
+    def __init__(self, bpe: WordBpe, words: Lexicon):
+        self.bpe, self.words = bpe, words
+        self.known = {False: Known(), True: Known()}  # by whether the words are spelled already
+
+    def _codes(self, words: list[str]) -> list[Code]:
+        """Of distinct spelled words: what the lexicon has, and exact merges."""
+        numbers = self.words.numbers([w.encode() for w in words])
+        known = iter(self.words.ids_of(numbers[numbers >= 0]))
+        decimal, token, merge = self.bpe.decimal.__getitem__, self.bpe.token.__getitem__, self.bpe.merge
+        each = (next(known) if number >= 0 else merge(w) for w, number in zip(words, numbers.tolist(), strict=True))
+        return [(len(ids), " ".join(map(decimal, ids)), " ".join(map(token, ids))) for ids in each]
+
+    def _coded(self, words: pa.Array, counts: np.ndarray, spelled: bool) -> list[Code]:
+        known = self.known[spelled]
+        at = pc.index_in(words, value_set=known.words)
+        if at.null_count:
+            new = words.filter(at.is_null()).unique()
+            if len(known.words) and len(known.words) + len(new) > REMEMBERED:
+                known = self.known[spelled] = Known()
+                new = words.unique()
+            known.learn(new, self._codes((new if spelled else self.bpe.spelled(new)).to_pylist()))
+            at = pc.index_in(words, value_set=known.words)
+        offsets = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
+        sizes = np.concatenate(([0], np.cumsum(known.sizes[at.to_numpy()])))
+        joined = (pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), own.take(at)), " ") for own in (known.decimals, known.decoded))
+        return list(zip(np.diff(sizes[offsets]).tolist(), *(x.to_pylist() for x in joined), strict=True))
+
+    def __call__(self, texts: list[str]) -> list[Code]:
+        plain = list(map(self.bpe.is_plain, texts))
+        one = iter(self._coded(*self.bpe.plain_words([t for t, p in zip(texts, plain, strict=True) if p]), False))
+        rest = [self.bpe.words(t) for t, p in zip(texts, plain, strict=True) if not p]
+        other = iter(self._coded(pa.array([w for own in rest for w in own], pa.string()), np.array(list(map(len, rest)), dtype=np.int64), True))
+        return [next(one if p else other) for p in plain]
+
+
+def encode_all(bpe: WordBpe, words: Lexicon, texts: list[str]) -> list[Code]:
     """For each text: its number of ids, the ids as decimals with a space between, and what they decode to."""
-    parts, plain = [], set()
-    for t in texts:
-        if bpe.is_plain(t):
-            chunks = t.split()
-            plain.update(chunks)
-            parts.append((True, chunks))
-        else:
-            parts.append((False, bpe.words(t)))
-    spelled = {c: bpe.plain_words(c) for c in plain}
-    distinct = list({w for own in spelled.values() for w in own} | {w for is_plain, own in parts if not is_plain for w in own})
-    numbers = words.numbers([w.encode() for w in distinct])
-    known = iter(words.ids_of(numbers[numbers >= 0]))
-    decimal, token = bpe.decimal.__getitem__, bpe.token.__getitem__
-    made: dict[str, tuple[int, str, str]] = {}
-    for w, number in zip(distinct, numbers.tolist(), strict=True):
-        ids = next(known) if number >= 0 else bpe.unseen(w)
-        made[w] = (len(ids), " ".join(map(decimal, ids)), " ".join(map(token, ids)))
-    counts, decimals, decoded = {}, {}, {}
-    for c, own in spelled.items():
-        found = [made[w] for w in own]
-        counts[c], decimals[c], decoded[c] = found[0] if len(found) == 1 else (sum(f[0] for f in found), " ".join(f[1] for f in found), " ".join(f[2] for f in found))
-    out = []
-    for is_plain, own in parts:
-        if is_plain:
-            out.append((sum(map(counts.__getitem__, own)), " ".join(map(decimals.__getitem__, own)), " ".join(map(decoded.__getitem__, own))))
-        else:
-            found = [made[w] for w in own]
-            out.append((sum(f[0] for f in found), " ".join(f[1] for f in found), " ".join(f[2] for f in found)))
-    return out
+    return Coder(bpe, words)(texts)
+
+
+@lru_cache(maxsize=1)
+def coder(file: str, data: bytes) -> Coder:
+    return Coder(word_bpe(file), lexicon(data))
 
 
 def together(texts: list[str | None]):
@@ -311,24 +316,17 @@ def word_counts(docs: DataFrame, file: str) -> DataFrame:
     """word and n: how often each spelled word stands in all texts."""
 
     def run(batches):
-        bpe, seen = word_bpe(file), Counter()
-        flush = lambda: pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+        bpe = word_bpe(file)
+
+        def counted(words: pa.Array, spelled: bool) -> pa.RecordBatch:
+            found = words.value_counts()
+            own = found.field("values")
+            return pa.RecordBatch.from_arrays([own if spelled else bpe.spelled(own), found.field("counts")], names=["word", "n"])
+
         for batch in batches:
             for texts in together(batch.column(0).to_pylist()):
-                chunks: Counter = Counter()
-                for t in texts:
-                    if bpe.is_plain(t):
-                        chunks.update(t.split())
-                    else:
-                        seen.update(bpe.words(t))
-                for c, n in chunks.items():
-                    for w in bpe.plain_words(c):
-                        seen[w] += n
-                if len(seen) > COUNTED:
-                    yield flush()
-                    seen.clear()
-        if seen:
-            yield flush()
+                yield counted(bpe.plain_words([t for t in texts if bpe.is_plain(t)])[0], False)
+                yield counted(pa.array([w for t in texts if not bpe.is_plain(t) for w in bpe.words(t)], pa.string()), True)
 
     return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -360,11 +358,11 @@ def _coded(docs: DataFrame, file: str, size: int, shaped, schema: str) -> DataFr
     data = docs.sparkSession.sparkContext.broadcast(build_lexicon(docs, file, size))  # bounded by `size`
 
     def run(batches):
-        bpe, words = word_bpe(file), lexicon(data.value)
+        encode = coder(file, data.value)
         for batch in batches:
             at = 0
             for texts in together(batch.column(1).to_pylist()):
-                n, a, b = zip(*(shaped(*x) for x in encode_all(bpe, words, texts)), strict=True)
+                n, a, b = zip(*(shaped(*x) for x in encode(texts)), strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=[x.split()[0] for x in schema.split(", ")])
                 at += len(texts)
 
