@@ -39,8 +39,9 @@ from .common import single_thread, table, written
 CAPACITY = 2048
 #: Nodes of the search over sequences, at least, and whole descents that it has nodes for, however deep they are; past them the best found so far stands.
 NODES, DESCENTS = 20_000, 8
-#: Nodes of the enumeration of fillings for the first branch of a node and for all of its branches, and steps of one test of dominance (a filling that is not tested to the end is kept).
-FIRST_NODES, ALL_NODES, STEPS = 400, 20_000, 300
+#: Nodes of the enumeration of fillings for the first branch of a node and for all of its branches, and steps of one
+#: test of dominance and of all of one enumeration (a filling that is not tested to the end is kept).
+FIRST_NODES, ALL_NODES, STEPS, ALL_STEPS = 400, 4_000, 300, 20_000
 #: Fillings without waste that end the first enumeration.
 EXACT = 6
 #: Strings between spaces whose ids a worker remembers at most.
@@ -169,8 +170,8 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
 Filling = tuple[tuple[int, int], ...]
 
 
-def _fits(inner: tuple[int, ...], outer: tuple[int, ...]) -> bool:
-    """Whether the lengths of ``inner`` can be put, several together, into rooms as large as those of ``outer``, as far as ``STEPS`` tell."""
+def _fits(inner: tuple[int, ...], outer: tuple[int, ...]) -> tuple[bool, int]:
+    """Whether the lengths of ``inner`` can be put, several together, into rooms as large as those of ``outer``, as far as ``STEPS`` tell; and the steps that it took."""
     steps = 0
 
     def go(at: int, rooms: tuple[int, ...]) -> bool:
@@ -186,7 +187,7 @@ def _fits(inner: tuple[int, ...], outer: tuple[int, ...]) -> bool:
                     return True
         return False
 
-    return go(0, outer)
+    return go(0, outer), steps
 
 
 def fillings(counts: dict[int, int], room: int, nodes: int, enough: int | None = None) -> list[Filling]:
@@ -214,8 +215,14 @@ def fillings(counts: dict[int, int], room: int, nodes: int, enough: int | None =
 
     search(0, room, [])
     best: list[tuple[int, ...]] = []
+    steps = 0
     for _, f in sorted(found, key=lambda x: (x[0], len(x[1]), [-s for s in x[1]])):
-        if not any(_fits(f, b) for b in best):
+        for b in best if steps < ALL_STEPS else ():
+            dominated, more = _fits(f, b)
+            steps += more
+            if dominated:
+                break
+        else:
             best.append(f)
     return [tuple((s, f.count(s)) for s in sorted(set(f), reverse=True)) for f in best]
 
@@ -298,6 +305,11 @@ def _others(counts: dict[int, int], node: _Node, first: Filling, capacity: int):
                 yield _child(node, f, most - less, most, capacity, 1)
 
 
+def _hopeless(node: _Node, left: dict[int, int], total: int, best: int, capacity: int) -> bool:
+    """Whether no packing that goes on from the node has fewer sequences than ``best``."""
+    return total + node.waste > (best - 1) * capacity or node.used + lower_bound_fast(left, capacity) >= best
+
+
 def bin_completion(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
     """Sequences for ``counts[length]`` pieces of each length: fillings, each with the times that it is used."""
     counts = {s: n for s, n in counts.items() if n}
@@ -322,13 +334,16 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
         if node is None:
             continue
         left = _left(counts, node)
-        rest = best_fit(left, capacity)
-        if node.used + size(rest) < size(incumbent):
-            incumbent = [*_steps(node), *rest]
+        nodes += 1
+        if not _hopeless(node, left, total, size(incumbent), capacity):
+            rest = best_fit(left, capacity)
+            nodes += len(rest)
+            if node.used + size(rest) < size(incumbent):
+                incumbent = [*_steps(node), *rest]
         while node is not None and left:
             nodes += 1
             deepest = max(deepest, node.depth)
-            if total + node.waste > (size(incumbent) - 1) * capacity or node.used + lower_bound_fast(left, capacity) >= size(incumbent):
+            if _hopeless(node, left, total, size(incumbent), capacity):
                 break
             found = _branches(node, left, capacity, FIRST_NODES, EXACT)
             first = found[0] if found else (None, 0)
