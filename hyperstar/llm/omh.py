@@ -255,20 +255,22 @@ def _near(n: Column, m: Column) -> Column:
 
 def _across(members: DataFrame, pivots: int | None) -> DataFrame:
     """Pairs (m1, m2, e1, e2) of members of one bucket and different classes that
-    both bounds let pass, once for each bucket. Of ``pivots`` random members of
-    each bucket, about, with all its members; by default of all members, in
-    either order once."""
+    both bounds let pass, in the one order that all pairs have, and from one of
+    the buckets that they share: that of their least common sketch. Of
+    ``pivots`` random members of each bucket, about, with all its members; by
+    default of all members."""
     fold = [reduce(Column.bitwiseXOR, (F.get("marks", F.lit(k)) for k in range(i, PARITIES, FOLDED))) for i in range(FOLDED)]
-    m, e = (members.select(F.col("s").alias(f"{x}_s"), F.col("h1").alias(f"{x}1"), F.col("h2").alias(f"{x}2"), F.col("n").alias(f"{x}_n"), F.xxhash64("label").alias(f"{x}_label"), F.col("marks").alias(f"{x}_marks"), F.col("size").alias(f"{x}_size"), *(c.alias(f"{x}_{i}") for i, c in enumerate(fold))) for x in "me")
+    m, e = (members.select(F.col("s").alias(f"{x}_s"), F.col("h1").alias(f"{x}1"), F.col("h2").alias(f"{x}2"), F.col("n").alias(f"{x}_n"), F.xxhash64("label").alias(f"{x}_label"), F.col("marks").alias(f"{x}_marks"), F.col("sketches").alias(f"{x}_sketches"), F.col("size").alias(f"{x}_size"), *(c.alias(f"{x}_{i}") for i, c in enumerate(fold))) for x in "me")
     most = 2 * F.floor((1 - SIMILARITY) * F.greatest("m_n", "e_n") + 1e-9)
     folded = reduce(Column.__add__, (F.bit_count(F.col(f"m_{i}").bitwiseXOR(F.col(f"e_{i}"))) for i in range(FOLDED)))
     whole = F.aggregate(F.zip_with("m_marks", "e_marks", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
     able = (F.col("m_label") != F.col("e_label")) & _near(F.col("m_n"), F.col("e_n")) & (folded <= most) & (whole <= most)
-    if pivots is None:
-        once = (F.col("m1") < F.col("e1")) | ((F.col("m1") == F.col("e1")) & (F.col("m2") < F.col("e2")))
-    else:
-        once = F.shiftrightunsigned(F.xxhash64("e1", "e2", "e_s"), 11) / F.lit(2.0**53) * F.col("e_size") < pivots
-    return m.join(e, (F.col("m_s") == F.col("e_s")) & once & able).select("m1", "m2", "e1", "e2")
+    once = (F.col("m1") > F.col("e1")) | ((F.col("m1") == F.col("e1")) & (F.col("m2") > F.col("e2")))
+    if pivots is not None:
+        chosen = lambda x: F.shiftrightunsigned(F.xxhash64(f"{x}1", f"{x}2", f"{x}_s"), 11) / F.lit(2.0**53) * F.col(f"{x}_size") < pivots
+        once &= chosen("m") | chosen("e")
+    here = F.array_min(F.array_intersect("m_sketches", "e_sketches")) == F.col("m_s")
+    return m.join(e, (F.col("m_s") == F.col("e_s")) & once & able & here).select("m1", "m2", "e1", "e2")
 
 
 def buckets(sketched: DataFrame) -> DataFrame:
@@ -297,12 +299,12 @@ def links(docs: DataFrame) -> DataFrame:
         labelled = members.join(components(edges), "node", "left").withColumn("label", F.coalesce("label", "node"))
         mixed = labelled.groupBy("s").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count(F.lit(1)).alias("size")).where("a <> b").select("s", "size")
         members = written(labelled.drop("label").join(mixed.select("s"), "s", "left_semi"))
-        marks = sketched.select("h1", "h2", "marks").join(members.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("marks").alias("marks"))
+        marks = sketched.select("h1", "h2", "marks", "sketches").join(members.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("marks").alias("marks"), F.first("sketches").alias("sketches"))
         open_ = written(labelled.join(mixed, "s").join(marks, ["h1", "h2"]))
         rest = _across(open_, None)
         n, most = members.count(), open_.agg(F.max("size")).first()[0] or 0
         last = pivots >= most or rest.limit(AT_ONCE * n + 1).count() <= AT_ONCE * n
-        more = written((rest if last else _across(open_, pivots)).distinct().join(pairs, ["m1", "m2", "e1", "e2"], "left_anti"))
+        more = written((rest if last else _across(open_, pivots)).join(pairs, ["m1", "m2", "e1", "e2"], "left_anti"))
         pairs = pairs.unionByName(more)
         edges = edges.unionByName(_kept(more, texts))
         if last:
