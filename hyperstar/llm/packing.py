@@ -38,7 +38,7 @@ from .common import single_thread, table, written
 
 CAPACITY = 2048
 #: Nodes of the search over sequences, at least, and whole descents that it has nodes for, however deep they are; past them the best found so far stands.
-NODES, DESCENTS = 20_000, 8
+NODES, DESCENTS = 60_000, 8
 #: Nodes of the enumeration of fillings for the first branch of a node and for all of its branches, and steps of one
 #: test of dominance and of all of one enumeration (a filling that is not tested to the end is kept).
 FIRST_NODES, ALL_NODES, STEPS, ALL_STEPS = 400, 4_000, 300, 20_000
