@@ -11,9 +11,10 @@ Classes are the connected components of the kept pairs and of equal texts.
 1. Every member of a bucket is compared with one of it, so a group of copies
    costs as many comparisons as it has texts.
 2. What is left are buckets whose members are not all of one class. Their pairs
-   of members of different classes are all judged, in the join itself, by two
-   bounds that no similar pair fails: on the lengths, and on the parities of the
-   texts' words (an edit flips two bits of 2048 at most). What passes is aligned.
+   of members of different classes are all judged, block by block, by two bounds
+   that no similar pair fails: on the lengths, and on the parities of the texts'
+   words (an edit flips two bits at most, and one if it changes the length; long
+   texts have more bits). What passes is aligned.
    While that is many more pairs than texts (variants of one text that are
    hardly similar to each other), each bucket's members first meet a few random
    ones of it, and classes are found anew, which leaves fewer pairs across
@@ -25,7 +26,8 @@ Texts that are equal are one node throughout: copies are counted, not compared.
 from __future__ import annotations
 
 from collections import Counter
-from functools import reduce
+from functools import partial
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +40,10 @@ from .components import components
 
 SHINGLE, SIMILARITY = 5, 0.8
 SKETCHES = 32
-#: Longs of a text's parities, and of what they are folded to for a first look.
-PARITIES, FOLDED = 32, 8
+#: Longs of a text's parities: a power of two that has four bits a word, but these at least and at most.
+PARITIES, MOST_PARITIES = 32, 256
+#: Members of a bucket's block, about: two blocks meet in one task.
+BLOCK = 500
 #: Pairs with one text that a task verifies, about.
 TOGETHER = 1_000
 #: Pairs across classes, for each member of a bucket, up to which all are verified at once.
@@ -124,8 +128,13 @@ def sketch_of(w: np.ndarray) -> np.ndarray:
 
 
 def parities(w: np.ndarray) -> np.ndarray:
-    """2048 bits, each the parity of the occurrence-labelled words that fall on it: to edit a word flips two bits at most."""
-    bits = np.bincount((_labelled(w) & np.uint64(64 * PARITIES - 1)).view(np.int64), minlength=64 * PARITIES) & 1
+    """2048 bits or more, each the parity of the occurrence-labelled words that
+    fall on it: to edit a word flips two bits at most. Folded to half, they are
+    what half the bits would be, so that texts of other lengths can be compared."""
+    longs = PARITIES
+    while longs < MOST_PARITIES and 16 * longs < len(w):
+        longs *= 2
+    bits = np.bincount((_labelled(w) & np.uint64(64 * longs - 1)).view(np.int64), minlength=64 * longs) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
@@ -144,8 +153,8 @@ def _sketched(batches):
                 w = word_hashes(words)
                 ids.append(a), others.append(b), sizes.append(len(words)), sketches.append(sketch_of(w).view(np.int64)), marks.append(parities(w))
         flat = lambda x: pa.array(np.concatenate(x)) if x else pa.array([], pa.int64())
-        lists = lambda x, n, rows=len(ids): pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * n), flat(x))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(others, pa.int64()), pa.array(sizes, pa.int64()), lists(sketches, SKETCHES), lists(marks, PARITIES)], names=["h1", "h2", "n", "sketches", "marks"])
+        lists = lambda x: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), flat(x))
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(others, pa.int64()), pa.array(sizes, pa.int64()), lists(sketches), lists(marks)], names=["h1", "h2", "n", "sketches", "marks"])
 
 
 def within(a: list[bytes], b: list[bytes], most: int) -> bool:
@@ -253,24 +262,113 @@ def _near(n: Column, m: Column) -> Column:
     return F.least(n, m) >= SIMILARITY * F.greatest(n, m) - 1e-9
 
 
-def _across(members: DataFrame, pivots: int | None) -> DataFrame:
+def _whole_groups(batches):
+    """Sorted batches, cut anew so that no group (s, i, j) is in two."""
+    one = lambda parts: pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+    held = []
+    for batch in (b for b in batches if b.num_rows):
+        keys = [batch.column(k).to_numpy() for k in ("s", "i", "j")]
+        others = np.flatnonzero(np.any([k != k[-1] for k in keys], axis=0))
+        if len(others):
+            at = int(others[-1]) + 1
+            yield one([*held, batch.slice(0, at)])
+            held, batch = [], batch.slice(at)
+        held.append(batch)
+    if held:
+        yield one(held)
+
+
+def _apart(marks: pa.ListArray):
+    """A function of the row numbers of pairs: how many parities differ, those of the longer text folded."""
+    longs, flat = np.diff(marks.offsets.to_numpy()), marks.flatten().to_numpy()
+    starts = np.concatenate(([0], np.cumsum(longs)[:-1]))
+    folded, at = {}, {}
+    for size in np.unique(longs).tolist():
+        folded[size], at[size] = [], np.zeros(len(longs), dtype=np.int64)
+        filled = 0
+        for own in np.unique(longs[longs >= size]).tolist():
+            rows = np.flatnonzero(longs == own)
+            whole = flat[starts[rows][:, None] + np.arange(own)].reshape(len(rows), own // size, size)
+            folded[size].append(np.bitwise_xor.reduce(whole, axis=1).view(np.uint64))
+            at[size][rows] = filled + np.arange(len(rows))
+            filled += len(rows)
+        folded[size] = np.concatenate(folded[size])
+
+    def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        sizes, found = np.minimum(longs[a], longs[b]), np.zeros(len(a), dtype=np.int64)
+        for size in np.unique(sizes).tolist():
+            k = np.flatnonzero(sizes == size)
+            x, y = at[size][a[k]], at[size][b[k]]
+            found[k] = np.bitwise_count(folded[size][x] ^ folded[size][y]).sum(axis=1)
+        return found
+
+    return apart
+
+
+def _passing(group: pa.RecordBatch):
+    """Row numbers of the pairs within groups (s, i, j) that both bounds let pass, a part at a time."""
+    s, i, j, n, label, side = (group.column(k).to_numpy() for k in ("s", "i", "j", "n", "label", "side"))
+    chosen = group.column("chosen").to_numpy(zero_copy_only=False)
+    sketches = group.column("sketches").flatten().to_numpy().reshape(-1, SKETCHES)
+    apart = _apart(group.column("marks"))
+    first = np.flatnonzero(np.concatenate(([True], (s[1:] != s[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
+    sizes = np.diff(np.append(first, len(s)))
+    end = np.repeat(first + sizes, sizes)
+    at = np.arange(len(s))
+    for step in count(1):
+        at = at[at + step < end[at]]
+        if not len(at):
+            return
+        a, b = at, at + step
+        longer = np.maximum(n[a], n[b])
+        able = (label[a] != label[b]) & (np.minimum(n[a], n[b]) >= SIMILARITY * longer - 1e-9)
+        hosts = (side[a] == j[a]) | (side[b] == j[b])
+        twice = chosen[a] & chosen[b] & (np.maximum(side[a], side[b]) > j[a])  # it is in the other's block, too
+        able &= np.where(i[a] == j[a], (chosen[a] | chosen[b]) & hosts & ~twice, side[a] != side[b])
+        a, b, longer = a[able], b[able], longer[able]
+        # An edit that puts a word in or leaves one out flips one bit, and there are as many of those as the lengths differ by.
+        close = apart(a, b) <= 2 * np.floor(longer * (1 - SIMILARITY) + 1e-9) - np.abs(n[a] - n[b])
+        a, b = a[close], b[close]
+        common = (sketches[a][:, :, None] == sketches[b][:, None, :]).any(axis=2)
+        here = np.where(common, sketches[a], np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max) == s[a]
+        if here.any():
+            yield a[here], b[here]
+
+
+def _judged(batches, counted: bool = False):
+    for group in _whole_groups(batches):
+        h1, h2 = (group.column(k).to_numpy() for k in ("h1", "h2"))
+        for a, b in _passing(group):
+            if counted:
+                yield pa.RecordBatch.from_arrays([pa.array([len(a)], pa.int64())], names=["pairs"])
+            else:
+                more = (h1[a] > h1[b]) | ((h1[a] == h1[b]) & (h2[a] > h2[b]))
+                m, e = np.where(more, a, b), np.where(more, b, a)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h1[m], h2[m], h1[e], h2[e])], names=["m1", "m2", "e1", "e2"])
+
+
+def _across(members: DataFrame, pivots: int | None, counted: bool = False) -> DataFrame:
     """Pairs (m1, m2, e1, e2) of members of one bucket and different classes that
     both bounds let pass, in the one order that all pairs have, and from one of
     the buckets that they share: that of their least common sketch. Of
     ``pivots`` random members of each bucket, about, with all its members; by
-    default of all members."""
-    fold = [reduce(Column.bitwiseXOR, (F.get("marks", F.lit(k)) for k in range(i, PARITIES, FOLDED))) for i in range(FOLDED)]
-    m, e = (members.select(F.col("s").alias(f"{x}_s"), F.col("h1").alias(f"{x}1"), F.col("h2").alias(f"{x}2"), F.col("n").alias(f"{x}_n"), F.xxhash64("label").alias(f"{x}_label"), F.col("marks").alias(f"{x}_marks"), F.col("sketches").alias(f"{x}_sketches"), F.col("size").alias(f"{x}_size"), *(c.alias(f"{x}_{i}") for i, c in enumerate(fold))) for x in "me")
-    most = 2 * F.floor((1 - SIMILARITY) * F.greatest("m_n", "e_n") + 1e-9)
-    folded = reduce(Column.__add__, (F.bit_count(F.col(f"m_{i}").bitwiseXOR(F.col(f"e_{i}"))) for i in range(FOLDED)))
-    whole = F.aggregate(F.zip_with("m_marks", "e_marks", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    able = (F.col("m_label") != F.col("e_label")) & _near(F.col("m_n"), F.col("e_n")) & (folded <= most) & (whole <= most)
-    once = (F.col("m1") > F.col("e1")) | ((F.col("m1") == F.col("e1")) & (F.col("m2") > F.col("e2")))
-    if pivots is not None:
-        chosen = lambda x: F.shiftrightunsigned(F.xxhash64(f"{x}1", f"{x}2", f"{x}_s"), 11) / F.lit(2.0**53) * F.col(f"{x}_size") < pivots
-        once &= chosen("m") | chosen("e")
-    here = F.array_min(F.array_intersect("m_sketches", "e_sketches")) == F.col("m_s")
-    return m.join(e, (F.col("m_s") == F.col("e_s")) & once & able & here).select("m1", "m2", "e1", "e2")
+    default of all members. Or only how many there are, in parts (pairs).
+
+    A bucket's members fall into blocks of bounded size. Blocks i and j meet
+    in a group (s, i, j); pivots are guests of each block, in (s, i, i)."""
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    every = F.sequence(F.lit(0), blocks - 1)
+    own = members.withColumn("side", F.pmod(F.xxhash64("h2", "h1"), blocks).cast("int"))
+    if pivots is None:
+        dealt = own.withColumn("chosen", F.lit(True)).withColumn("o", F.explode(every))
+        i, j = F.least("side", "o"), F.greatest("side", "o")
+    else:
+        dealt = own.withColumn("chosen", F.shiftrightunsigned(F.xxhash64("h1", "h2", "s"), 11) / F.lit(2.0**53) * F.col("size") < pivots)
+        dealt = dealt.withColumn("o", F.explode(F.when(F.col("chosen"), every).otherwise(F.array("side"))))
+        i = j = F.col("o")
+    keyed = dealt.select("s", i.alias("i"), j.alias("j"), "h1", "h2", "n", F.xxhash64("label").alias("label"), "side", "chosen", "sketches", "marks")
+    grouped = keyed.repartition("s", "i", "j").sortWithinPartitions("s", "i", "j")
+    return grouped.mapInArrow(partial(_judged, counted=counted), "pairs long" if counted else "m1 long, m2 long, e1 long, e2 long")
 
 
 def buckets(sketched: DataFrame) -> DataFrame:
@@ -302,8 +400,8 @@ def links(docs: DataFrame) -> DataFrame:
         marks = sketched.select("h1", "h2", "marks", "sketches").join(members.select("h1", "h2").distinct(), ["h1", "h2"], "left_semi").groupBy("h1", "h2").agg(F.first("marks").alias("marks"), F.first("sketches").alias("sketches"))
         open_ = written(labelled.join(mixed, "s").join(marks, ["h1", "h2"]))
         rest = _across(open_, None)
-        n, most = members.count(), open_.agg(F.max("size")).first()[0] or 0
-        last = pivots >= most or rest.limit(AT_ONCE * n + 1).count() <= AT_ONCE * n
+        n, most, square = open_.agg(F.count(F.lit(1)), F.coalesce(F.max("size"), F.lit(0)), F.coalesce(F.sum("size"), F.lit(0))).first()
+        last = pivots >= most or square <= 2 * AT_ONCE * n or (_across(open_, None, True).agg(F.sum("pairs")).first()[0] or 0) <= AT_ONCE * n
         more = written((rest if last else _across(open_, pivots)).join(pairs, ["m1", "m2", "e1", "e2"], "left_anti"))
         pairs = pairs.unionByName(more)
         edges = edges.unionByName(_kept(more, texts))

@@ -173,3 +173,43 @@ def test_long_texts_align_in_a_narrow_band():
     b = [b"x" if i % 2_000 == 7 else w for i, w in enumerate(a)]
     start = time.process_time()
     assert omh.within(a, b, 40_000) and not omh.within(a, b, 99) and time.process_time() - start < 20
+
+
+def members_of(spark, texts):
+    """A row for each text and bucket, as they are when no pair has been compared yet."""
+    rows = []
+    for k, words in enumerate(t.encode().split() for t in texts):
+        w = omh.word_hashes(words)
+        sketches, marks = omh.sketch_of(w).view("int64").tolist(), omh.parities(w).tolist()
+        rows += [(s, k, 0, len(words), str(k), marks, sketches) for s in set(sketches)]
+    sizes = collections.Counter(row[0] for row in rows)
+    rows = [(*row, sizes[row[0]]) for row in rows if sizes[row[0]] > 1]
+    return spark.createDataFrame(rows, "s long, h1 long, h2 long, n long, label string, marks array<long>, sketches array<long>, size long").repartition(4)
+
+
+def texts_with_one_passage(n):
+    """A passage of 600 words with 130 to 180 of their own: some are similar, most little under that."""
+    r = random.Random(5)
+    passage = [f"w{r.randrange(10**6)}" for _ in range(600)]
+    return [" ".join(passage + [f"x{r.randrange(10**9)}" for _ in range(r.randrange(130, 181))]) for _ in range(n)]
+
+
+def test_few_pairs_across_classes_pass_without_being_similar(spark):
+    texts = texts_with_one_passage(120)
+    pairs = [(x.m1, x.e1) for x in omh._across(members_of(spark, texts), None).collect()]
+    sketches = [set(omh.sketch(t.encode().split()).tolist()) for t in texts]
+    alike = {(i, j) for i in range(len(texts)) for j in range(i) if sketches[i] & sketches[j] and omh.similar(texts[i], texts[j])}
+    assert len(pairs) == len(set(pairs)) and alike <= set(pairs) and len(alike) > 500
+    assert len(pairs) <= 4 * len(alike)
+
+
+def test_blocks_of_a_bucket_leave_out_no_pair(spark, monkeypatch):
+    r = random.Random(6)
+    texts = texts_with_one_passage(50) + [" ".join(edited(r, [f"y{i}" for i in range(n)], 0.1)) for n in (240, 250, 258, 270, 280) for _ in range(4)]
+    members = members_of(spark, texts).cache()
+    pairs = lambda pivots: sorted((x.m1, x.e1) for x in omh._across(members, pivots).collect())
+    counted = lambda: omh._across(members, None, True).agg({"pairs": "sum"}).first()[0]
+    whole, some = pairs(None), pairs(3)
+    assert 0 < len(set(some)) == len(some) < len(whole) == counted() and set(some) < set(whole)
+    monkeypatch.setattr(omh, "BLOCK", 7)
+    assert pairs(None) == whole and pairs(3) == some and counted() == len(whole)
